@@ -3,7 +3,18 @@
 from __future__ import annotations
 
 from .decontaminate import op10_winnowing_decontamination
+from .mixing import op8_pivotal_mixing
+from .quality import op3_bradley_terry_quality
+from .sharding import op2_sampled_splitter_shards
 
-QUERIES = {f.__name__: f for f in (op10_winnowing_decontamination,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_sampled_splitter_shards,
+        op3_bradley_terry_quality,
+        op8_pivotal_mixing,
+        op10_winnowing_decontamination,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
