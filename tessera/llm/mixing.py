@@ -21,7 +21,7 @@ from .common import stage, table
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Documents that one task rounds in one group, and undecided ones that meet in a node of the tree.
-CHUNK = 20_000
+CHUNK = 2_000
 FAN_IN = 1_000
 #: Source rows up to which their table is broadcast; a larger one is joined by a shuffle.
 BROADCAST_SOURCES = 50_000

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .decontaminate import op10_winnowing_decontamination
+from .licenses import op9_license_set_join
 from .mixing import op8_pivotal_mixing
 from .quality import op3_bradley_terry_quality
 from .sharding import op2_sampled_splitter_shards
+from .token_output import op7_feistel_token_output
 
 QUERIES = {
     f.__name__: f
     for f in (
         op2_sampled_splitter_shards,
         op3_bradley_terry_quality,
+        op7_feistel_token_output,
         op8_pivotal_mixing,
+        op9_license_set_join,
         op10_winnowing_decontamination,
     )
 }
