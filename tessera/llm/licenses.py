@@ -38,8 +38,8 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BLOCK = r"\n+|(?<=[.!?])\s+"
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(text), _GAP, " ")), " ")
+def _words(lowered: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(lowered, _GAP, " ")), " ")
 
 
 def _template_words(text: str) -> list[str]:
@@ -71,39 +71,40 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
     sets = [(label, _template_words(text)) for label, text in templates]
     vocabulary = sorted({w for _, words in sets for w in words})
     known = F.lit(vocabulary)
-    words = _words(F.col("text"))
+    needs = [math.ceil(threshold * len(ws) - 1e-9) for _, ws in sets]
+
+    def facts(ws: Column) -> Column:
+        """Of the word arrays of a text's blocks: word count, base places, sets of template words."""
+        held = F.transform(ws, lambda w: F.array_intersect(known, w))
+        return F.struct(
+            F.aggregate(ws, F.lit(0).cast("long"), lambda n, w: n + F.size(w) - F.when(F.get(w, F.lit(0)) == "", 1).otherwise(0)).alias("n_words"),
+            F.when(F.exists(ws, lambda w: F.array_contains(w, "license")), F.get(F.transform(F.array(F.flatten(F.transform(ws, lambda w: F.filter(w, lambda x: x != "")))), _places), F.lit(0))).alias("places"),
+            F.filter(held, lambda b: F.size(b) >= min(needs)).alias("sets"),
+        )
+
+    # the words are bound once, as an array's only element, so that one pass over the text serves all
+    per_block = F.transform(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), _BLOCK), _words)
     base = stage(
-        docs.select("doc_id", "text").select(
-            "doc_id",
-            F.xxhash64("text").alias("th"),
-            F.coalesce(F.regexp_count(F.lower("text"), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"),
-            F.when(F.lower("text").contains("license"), _places(words)).alias("places"),
-            F.array_intersect(words, known).alias("known"),
-        ),
+        docs.select(
+            "doc_id", F.xxhash64("text").alias("th"), F.get(F.transform(F.array(per_block), facts), F.lit(0)).alias("f")
+        ).select("doc_id", "th", "f.*"),
         "license-base",
     )
-    # how many documents hold each word of a template: at most one row a word
-    seen = dict(map(tuple, base.select(F.explode("known").alias("w")).groupBy("w").count().collect()))
+    # how many documents hold each word of a template, where enough of them meet: at most one row a word
+    seen = dict(map(tuple, base.select(F.explode(F.array_distinct(F.flatten("sets"))).alias("w")).groupBy("w").count().collect()))
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
     index = []
     for t, (label, ws) in enumerate(sets):
-        need = math.ceil(threshold * len(ws) - 1e-9)
+        need = needs[t]
         ordered = sorted(ws, key=rank.__getitem__)
         for i, w in enumerate(ordered[: len(ws) - need + 1]):
             index.append((w, i, t, label, need, ordered))
-    first_words = sorted({x[0] for x in index})
     entry = lambda w, i, t, label, need, ws: F.struct(
         F.lit(w).alias("w"), F.lit(i).alias("i"), F.lit(t).alias("t"), F.lit(label).alias("label"), F.lit(need).alias("need"), F.lit(ws).alias("ws")
     )
     side = docs.sparkSession.range(1).select(F.inline(F.array(*[entry(*x) for x in index])))
     ordered_known = F.lit(sorted(vocabulary, key=rank.__getitem__))
-    blocks = (
-        docs.select("doc_id", "text")
-        .where(F.arrays_overlap(words, F.lit(first_words)))
-        .select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.split("text", _BLOCK)).alias("block"))
-        .select("doc_id", "th", F.array_intersect(ordered_known, _words(F.col("block"))).alias("b"))
-        .where(F.size("b") >= min(x[4] for x in index))
-    )
+    blocks = base.select("doc_id", "th", F.explode("sets").alias("b")).select("doc_id", "th", F.array_intersect(ordered_known, "b").alias("b"))
     n = F.size("b")
     matched = (
         blocks.select("doc_id", "th", "b", F.posexplode("b").alias("j", "w"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op10_winnowing_decontamination
+from .fingerprint import op6_multiset_fingerprints
 from .licenses import op9_license_set_join
 from .mixing import op8_pivotal_mixing
 from .quality import op3_bradley_terry_quality
@@ -14,6 +15,7 @@ QUERIES = {
     for f in (
         op2_sampled_splitter_shards,
         op3_bradley_terry_quality,
+        op6_multiset_fingerprints,
         op7_feistel_token_output,
         op8_pivotal_mixing,
         op9_license_set_join,
