@@ -8,6 +8,7 @@ from .licenses import op9_license_set_join
 from .mixing import op8_pivotal_mixing
 from .quality import op3_bradley_terry_quality
 from .sharding import op2_sampled_splitter_shards
+from .simhash import op5_simhash_near_duplicates
 from .token_output import op7_feistel_token_output
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     for f in (
         op2_sampled_splitter_shards,
         op3_bradley_terry_quality,
+        op5_simhash_near_duplicates,
         op6_multiset_fingerprints,
         op7_feistel_token_output,
         op8_pivotal_mixing,
