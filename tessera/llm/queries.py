@@ -5,17 +5,21 @@ from __future__ import annotations
 from .decontaminate import op10_winnowing_decontamination
 from .fingerprint import op6_multiset_fingerprints
 from .licenses import op9_license_set_join
+from .lm_scoring import op1_stupid_backoff_scores
 from .mixing import op8_pivotal_mixing
 from .quality import op3_bradley_terry_quality
 from .sharding import op2_sampled_splitter_shards
 from .simhash import op5_simhash_near_duplicates
+from .suffix_dedup import op4_suffix_array_dedup
 from .token_output import op7_feistel_token_output
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_stupid_backoff_scores,
         op2_sampled_splitter_shards,
         op3_bradley_terry_quality,
+        op4_suffix_array_dedup,
         op5_simhash_near_duplicates,
         op6_multiset_fingerprints,
         op7_feistel_token_output,
