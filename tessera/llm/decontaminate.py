@@ -181,6 +181,13 @@ def is_contaminated(n_words: str = "n_words", n_hit: str = "n_hit") -> Column:
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, **options) -> DataFrame:
+    """``docs`` that are not contaminated, as they are; see ``contamination``."""
+    n_words, n_hit, _ = scan_columns(docs.sparkSession, F.col("text"), benchmark, window, **options)
+    found = docs.select(*docs.columns, F.struct(n_words.alias("n_words"), n_hit.alias("n_hit")).alias("__found"))
+    return found.where(~is_contaminated("__found.n_words", "__found.n_hit")).select(*docs.columns)
+
+
 def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract columns of benchmark decontamination over all documents."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -144,25 +144,24 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def repeat(docs: DataFrame) -> DataFrame:
-    """The documents themselves, each as many times as the mix takes it, with their own columns."""
-    names = docs.columns
-    text = F.struct(*[F.col(c) for c in names])
-    # rows that share id, source and text are told apart by a running number, on both sides alike
-    one = docs.select(text.alias("doc"), F.xxhash64("text").alias("th")).select("doc", "th", "doc.doc_id", "doc.source", word_count(F.col("doc.text")).alias("size"))
-    same = Window.partitionBy("doc_id", "source", "size", "th").orderBy("th")
-    keyed = one.withColumn("again", F.row_number().over(same))
-    keys = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
-    keys = keys.withColumn("again", F.row_number().over(same))
-    sizes = keys.select("doc_id", "source", "size", F.xxhash64("th", "again").alias("part"))
-    taken = copies_of(sizes).where("copies > 0").select("doc_id", "source", "size", "part", "copies").alias("t")
-    joined = keyed.withColumn("part", F.xxhash64("th", "again")).alias("d").join(
-        taken,
-        F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))
-        & F.col("d.source").eqNullSafe(F.col("t.source"))
-        & (F.col("d.size") == F.col("t.size"))
-        & (F.col("d.part") == F.col("t.part")),
+    """The documents themselves, each as many times as the mix takes it, with their own columns.
+
+    Rows equal in every column are rounded one by one and come out as often as all of them together.
+    """
+    row = [F.xxhash64(*docs.columns).alias("__h1"), F.xxhash64(F.lit(1), *docs.columns).alias("__h2")]
+    equal = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *row)
+    equal = equal.groupBy("doc_id", "source", "size", "__h1", "__h2").agg(F.count(F.lit(1)).alias("m"))
+    # an equal row's number is part of its hash, so that hashes tell the rows apart
+    numbered = stage(
+        equal.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("again")).select(
+            "doc_id", "source", "size", "__h1", "__h2", F.xxhash64("__h1", "__h2", "again").alias("part")
+        ),
+        "mix-rows",
     )
-    return joined.select("d.doc", F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("copy")).select("doc.*")
+    taken = copies_of(numbered.select("doc_id", "source", "size", "part")).where("copies > 0").select("part", "copies")
+    total = numbered.join(taken, "part").groupBy("__h1", "__h2").agg(F.sum("copies").cast("int").alias("__n"))
+    joined = docs.select("*", *row).join(total, ["__h1", "__h2"]).dropDuplicates(["__h1", "__h2"])
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).select(*docs.columns)
 
 
 def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

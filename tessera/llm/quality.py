@@ -182,6 +182,12 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     return scored.select("*", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+def accept(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``docs`` that score at least ACCEPT, as they are; see ``classify``."""
+    small_batches(docs.sparkSession)
+    return docs.where(score_column(F.col("text"), train(docs, labels, max_labelled)) >= ACCEPT)
+
+
 def op3_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract columns of the quality classifier over all documents."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
