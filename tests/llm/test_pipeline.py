@@ -42,11 +42,11 @@ def test_stages_against_brute_force(spark, stages):
     assert {r.doc_id for r in good.collect()} == want and 0 < len(want) < docs.count()
 
     rows = sorted(good_in.collect(), key=lambda r: r.doc_id)
-    fps = [np.frombuffer(simhash.fingerprint_of(r.text, 5, 4), np.uint64) for r in rows]
+    fps = [np.frombuffer(simhash.fingerprint_of(r.text, 5, 8, True), np.uint64) for r in rows]
     root = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if np.bitwise_count(fps[i] ^ fps[j]).sum() <= 42:
+            if np.bitwise_count(fps[i] ^ fps[j]).sum() <= 97:
                 a, b = root[i], root[j]
                 root = [min(a, b) if x in (a, b) else x for x in root]
     left = {r.doc_id for r in single.collect()}
@@ -99,3 +99,22 @@ def test_repeat_is_exact_about_equal_rows(spark):
     once = sorted(map(tuple, mixing.repeat(docs).collect()))
     assert once == sorted(map(tuple, mixing.repeat(docs).collect()))
     assert abs(sum(3 for r in once if r[0] == 1) - 17 * 5 / 7) <= 3 + 1e-9 or sum(1 for r in once if r[0] == 2) == 3
+
+
+def test_stage_radius_tells_near_copies_from_others():
+    rng = np.random.default_rng(3)
+    links = {"near": [], "edge": [], "far": []}
+    for _ in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(150, 600))]
+        other = list(words)
+        for at in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0.005, 0.12))), replace=False):
+            other[at] = "edited"
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        like = len(a & b) / len(a | b)
+        x, y = (np.frombuffer(simhash.fingerprint_of(" ".join(t), 5, 8, True), np.uint64) for t in (words, other))
+        band = "near" if like >= 0.85 else "edge" if like >= 0.8 else "far" if like < 0.55 else None
+        if band:
+            links[band].append(np.bitwise_count(x ^ y).sum() <= 97)
+    assert min(map(len, links.values())) >= 10
+    assert np.mean(links["near"]) >= 0.99 and np.mean(links["edge"]) >= 0.9 and np.mean(links["far"]) <= 0.02
+    print({k: (len(v), float(np.mean(v))) for k, v in links.items()})
