@@ -22,6 +22,10 @@ from .common import small_batches, stage, table, unstage
 TILE = 4096
 #: Fingerprints a task group gathers from many small buckets.
 GROUP = 50_000
+#: Bytes of shingle hashes in a tile; a task compares two tiles.
+SET_BYTES = 16 << 20
+#: Least similarity of near copies, as a fraction.
+SHARE = (4, 5)
 
 
 def _lane(h: np.ndarray, lane: int) -> np.ndarray:
@@ -31,20 +35,27 @@ def _lane(h: np.ndarray, lane: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprint_of(text: str | None, words: int, lanes: int = 1, distinct: bool = False) -> bytes:
-    """``lanes`` times 64 bits, each set if set in over half of the shingle hashes; ``distinct`` counts a
-    repeated shingle once."""
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's word shingles, in order; a text of fewer words is one shingle."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not tokens:
-        return bytes(8 * lanes)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(tokens))
     spans = list(zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans), np.uint64, len(spans))
-    if distinct:
-        hashes = np.unique(hashes)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans), np.uint64, len(spans))
+
+
+def fingerprint_of(text: str | None, words: int, lanes: int = 1, distinct: bool = False) -> bytes:
+    """``lanes`` times 64 bits, each set if set in over half of the shingle hashes; ``distinct`` counts a
+    repeated shingle once."""
+    hashes = _shingles(text, words)
+    return _majority(np.unique(hashes) if distinct else hashes, lanes)
+
+
+def _majority(hashes: np.ndarray, lanes: int) -> bytes:
     out = b""
     for lane in range(lanes):
         h = hashes if lane == 0 else _lane(hashes, lane)
@@ -65,6 +76,21 @@ def fingerprint(text: Column, words: int = 4, lanes: int = 1, distinct: bool = F
     return of(text)
 
 
+def _prints(text: Column, words: int, lanes: int) -> Column:
+    """Struct of fp (SimHash over distinct shingles), sh (their sorted hashes) and sid (128 bits of sh)."""
+
+    @F.pandas_udf("fp binary, sh binary, sid binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            hashes = np.unique(_shingles(t, words))
+            sh = hashes.astype(">u8").tobytes()
+            rows.append((_majority(hashes, lanes), sh, xxhash.xxh3_128_digest(sh)))
+        return pd.DataFrame(rows, columns=["fp", "sh", "sid"])
+
+    return of(text)
+
+
 def _forest(fp: np.ndarray, left: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between rows of ``fp`` (rows, lanes); where two tiles
     meet (``left`` marks the rows of one), only links across them count. Rows come by population count."""
@@ -123,6 +149,8 @@ def links(prints: DataFrame, radius: int, blocks: int | None = None) -> DataFram
         prints.select("node", "fp", F.posexplode(block_values("fp")).alias("block", "value")), "simhash-blocks"
     )
     crowded = dealt.groupBy("block", "value").count().where(F.col("count") > TILE)
+    if blocks <= radius:  # wide blocks make many rows, of which the join should move none
+        crowded = F.broadcast(crowded)
     joined = dealt.join(crowded, ["block", "value"], "left")
     # a crowded bucket is cut into tiles, and each pair of tiles meets in a group of its own
     parts = F.ceil(F.col("count") / TILE).cast("int")
@@ -180,6 +208,73 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _alike_forest(fp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """As ``_forest``, but an edge also needs an exact Jaccard similarity of ``SHARE`` of the rows' sets."""
+    top, bottom = SHARE
+    sizes = np.array([len(s) for s in sets])
+    two = left.any() and not left.all()
+    free = np.ones(len(fp), bool)
+    edges = []
+    for root in range(len(fp)):
+        if not free[root]:
+            continue
+        free[root] = False
+        todo = [root]
+        while todo:
+            i = todo.pop()
+            near = free & (sizes * bottom >= sizes[i] * top) & (sizes[i] * bottom >= sizes * top)
+            if two:
+                near &= left != left[i]
+            at = np.flatnonzero(near)
+            at = at[np.bitwise_count(fp[at] ^ fp[i]).sum(axis=1) <= radius]
+            for c in range(0, len(at), 256):
+                some = at[c : c + 256]
+                held = np.concatenate([sets[j] for j in some])
+                place = np.minimum(np.searchsorted(sets[i], held), sizes[i] - 1)
+                starts = np.cumsum(sizes[some]) - sizes[some]
+                common = np.add.reduceat(sets[i][place] == held, starts, dtype=np.int64)
+                for j in some[common * bottom >= (sizes[i] + sizes[some] - common) * top].tolist():
+                    free[j] = False
+                    edges.append((i, j))
+                    todo.append(j)
+    return edges
+
+
+def alike(sets: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between sets of one candidate group at exact Jaccard similarity ``SHARE`` or more.
+
+    ``sets`` is staged and has one row per distinct set: node, root (the group), fp, sh (sorted hashes of 8
+    bytes). Small groups share a task; a group beyond ``SET_BYTES`` or ``TILE`` rows is cut into tiles, each
+    pair of which returns a forest.
+    """
+    total = sets.agg(F.count(F.lit(1)), F.sum(F.length("sh"))).first()
+    groups = max(1, -(-total[0] // GROUP), -(-(total[1] or 0) // (2 * SET_BYTES)))
+    need = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum(F.length("sh")) / SET_BYTES)).cast("int")
+    crowded = sets.groupBy("root").agg(need.alias("parts")).where("parts > 1")
+    tile = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = sets.join(F.broadcast(crowded), "root", "left").select("*", tile.alias("t"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("o"))
+    rows = dealt.select(
+        "node", "root", "fp", "sh",
+        F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root")).alias("g"),
+        F.when(F.col("parts").isNull(), -1).otherwise(F.least("t", "o")).alias("x"),
+        F.when(F.col("parts").isNull(), -1).otherwise(F.greatest("t", "o")).alias("y"),
+        F.coalesce(F.col("t") <= F.col("o"), F.lit(True)).alias("left"),
+    )
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, b in frame.groupby("root", sort=False):
+            if len(b) > 1:
+                fp = np.frombuffer(b"".join(b["fp"]), ">u8").reshape(len(b), -1).astype(np.uint64)
+                held = [np.frombuffer(s, ">u8").astype(np.uint64) for s in b["sh"]]
+                node = b["node"].to_numpy()
+                found += [(node[i], node[j]) for i, j in _alike_forest(fp, held, b["left"].to_numpy(), radius)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("g", "x", "y").applyInPandas(compare, "a bigint, b bigint").distinct()
+
+
 def _classes(prints: DataFrame, radius: int, blocks: int | None, node: Column) -> DataFrame:
     """(fp, root) of each distinct fingerprint; ``prints`` is staged and has a column fp."""
     distinct = stage(prints.select("fp").distinct().select("fp", node.alias("node")), "simhash-distinct")
@@ -203,22 +298,35 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return marked.join(by_print, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, lanes: int = 8, radius: int = 97, blocks: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, lanes: int = 8, radius: int = 136, blocks: int = 56) -> DataFrame:
     """``docs`` without all but one document of each near-duplicate group: the smallest doc_id stays.
 
-    Fingerprints of 64 bits a lane, over distinct shingles, link within ``radius``. Two texts at
-    similarity 0.8 differ in 78 of 512 bits on average (15%), with a deviation of 8, so that by calculation 99
-    in 100 lie within 97 bits, as do many of similarity 0.7 (98 on average); some block of 12
-    bits is equal for 998 in 1000 such pairs. Texts without words are one group. Null ids come last;
-    repeated rows leave one; an empty table stays empty; further columns are kept as they are.
+    Two texts are linked where the exact Jaccard similarity of their distinct shingles is 0.8 or more. The
+    candidates come from fingerprints of 64 bits a lane: groups linked within ``radius`` bits, found
+    where one of ``blocks`` parts is equal. By calculation a pair at 0.8 differs in 78 of 512 bits on
+    average, in 96 (deviation 9) with 4 and 5 shingles, the most; a pair fails to meet in any part with a chance
+    of 1 in a million, of 1 in 10,000 with 4 and 5 shingles. Sets below 4 shingles reach 0.8 only
+    when equal. Texts without words are one group. Null ids come last; repeated rows leave one; an
+    empty table stays empty; further columns are kept as they are.
     """
     small_batches(docs.sparkSession)
     row = [F.xxhash64(*docs.columns).alias("__h1"), F.xxhash64(F.lit(1), *docs.columns).alias("__h2")]
-    marked = stage(docs.select("doc_id", *row, fingerprint(F.col("text"), words, lanes, True).alias("fp")), "keep-prints")
-    roots = _classes(marked, radius, blocks, F.xxhash64("fp"))
+    marked = stage(docs.select("doc_id", *row, _prints(F.col("text"), words, lanes).alias("p")).select("doc_id", "__h1", "__h2", "p.*"), "keep-prints")
+    large = marked.where(F.length("sh") >= 8 * SHARE[0])
+    ids = large.select("sid", "fp").distinct()
+    distinct = stage(ids.groupBy("fp").agg((F.count(F.lit(1)) > 1).alias("several")).select("*", F.xxhash64("fp").alias("node")), "simhash-distinct")
+    near = stage(components(links(distinct, radius, blocks)), "simhash-roots")
+    grouped = distinct.join(near, "node", "left").where("several or root is not null").select("fp", F.coalesce("root", "node").alias("root"))
+    sets = stage(
+        large.select("sid", "fp", "sh").dropDuplicates(["sid"])
+        .join(ids.join(grouped, "fp").select("sid", "root"), "sid")
+        .select(F.xxhash64("sid").alias("node"), "root", "fp", "sh"),
+        "simhash-sets",
+    )
+    roots = components(alike(sets, radius))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h1", "__h2")
-    per_print = marked.groupBy("fp").agg(F.min(first).alias("f"))
-    kept = per_print.join(roots, "fp").groupBy("root").agg(F.min("f").alias("f")).select("f.__h1", "f.__h2")
+    per_set = marked.groupBy("sid").agg(F.min(first).alias("f")).select(F.xxhash64("sid").alias("node"), "f")
+    kept = per_set.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("f").alias("f")).select("f.__h1", "f.__h2")
     return docs.select("*", *row).join(kept, ["__h1", "__h2"]).dropDuplicates(["__h1", "__h2"]).select(*docs.columns)
 
 

@@ -71,3 +71,48 @@ def test_long_chain(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def jaccard_kept(docs):
+    """Ids that stay when texts at exact similarity 0.8 over five-word shingles are linked."""
+    sets = []
+    for _, t in docs:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = root[i], root[j]
+                root = [y if r == x else r for r in root]
+    return sorted(min(d for (d, _), r in zip(docs, root, strict=True) if r == g) for g in set(root))
+
+
+def keep_fixture():
+    rng, docs = random.Random(8), [(1, ""), (2, None), (3, "a b"), (4, "a b")]
+    for k in range(100):  # at exactly 0.8; just below it; short texts that differ in the last word
+        w = [f"w{k}x{i}" for i in range(60)]
+        docs += [(1000 + k, " ".join(w[:9])), (2000 + k, " ".join(w[:8]))]
+        docs += [(3000 + k, " ".join(w[20:28])), (4000 + k, " ".join([*w[20:27], "other"]))]
+    for k in range(20):  # shingles n of which m are common, below and above
+        n = rng.choice([40, 150, 300])
+        w = [f"v{k}x{i}" for i in range(n + 4)]
+        docs.append((5000 + 10 * k, " ".join(w)))
+        docs += [(5000 + 10 * k + c, " ".join(w[: round(n * share) + 4])) for c, share in enumerate([0.79, 0.72, 0.66], 1)]
+        docs.append((5000 + 10 * k + 5, " ".join(w[: -(-n * 4 // 5) + 4])))
+    for k in range(12):  # a chain whose ends are far apart
+        docs.append((7000 + k, " ".join(f"c{i}" for i in range(8 * k, 8 * k + 104))))
+    return docs
+
+
+def test_keep_one_at_exact_similarity(spark):
+    docs = keep_fixture()
+    got = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == jaccard_kept(docs)
+
+
+def test_keep_one_in_small_tiles(spark):
+    docs = keep_fixture()[-60:]
+    with mock.patch.multiple(simhash, TILE=3, GROUP=50, SET_BYTES=4096):
+        got = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert sorted(r.doc_id for r in got.collect()) == jaccard_kept(docs)
