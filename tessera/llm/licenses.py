@@ -1,7 +1,7 @@
 """License scan as an exact set-similarity join, in DataFrame operations only.
 
 Text blocks (sentences and lines) are joined to license templates wherever a block holds enough of a
-template's distinct words. Words are ordered by how rare they are over all documents; a pair that can
+template's distinct words, and all that tell it from a similar template of another label. Words are ordered by how rare they are over all documents; a pair that can
 reach the threshold shares one of the template's first (rarest) words, which is what the join is on,
 and the block's size and the word's places bound the overlap before it is counted.
 """
@@ -72,6 +72,11 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
     vocabulary = sorted({w for _, words in sets for w in words})
     known = F.lit(vocabulary)
     needs = [math.ceil(threshold * len(ws) - 1e-9) for _, ws in sets]
+    # where another label's template holds enough words of this one, those that it lacks are obligatory
+    musts = [
+        [w for w in ws if any(w not in vs for other, vs in sets if other != label and len(set(ws) & set(vs)) >= need)]
+        for (label, ws), need in zip(sets, needs, strict=True)
+    ]
 
     def facts(ws: Column) -> Column:
         """Of the word arrays of a text's blocks: word count, base places, sets of template words."""
@@ -98,9 +103,10 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
         need = needs[t]
         ordered = sorted(ws, key=rank.__getitem__)
         for i, w in enumerate(ordered[: len(ws) - need + 1]):
-            index.append((w, i, t, label, need, ordered))
-    entry = lambda w, i, t, label, need, ws: F.struct(
-        F.lit(w).alias("w"), F.lit(i).alias("i"), F.lit(t).alias("t"), F.lit(label).alias("label"), F.lit(need).alias("need"), F.lit(ws).alias("ws")
+            index.append((w, i, t, label, need, ordered, musts[t]))
+    entry = lambda w, i, t, label, need, ws, must: F.struct(
+        F.lit(w).alias("w"), F.lit(i).alias("i"), F.lit(t).alias("t"), F.lit(label).alias("label"), F.lit(need).alias("need"), F.lit(ws).alias("ws"),
+        F.array(*map(F.lit, must)).cast("array<string>").alias("must"),
     )
     side = docs.sparkSession.range(1).select(F.inline(F.array(*[entry(*x) for x in index])))
     ordered_known = F.lit(sorted(vocabulary, key=rank.__getitem__))
@@ -111,7 +117,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
         .join(F.broadcast(side), "w")  # one row for each first word of a given template
         .where((n >= F.col("need")) & (F.least(n - F.col("j"), F.size("ws") - F.col("i")) >= F.col("need")))
         .withColumn("overlap", F.size(F.array_intersect("b", "ws")))
-        .where("overlap >= need")
+        .where("overlap >= need and size(array_except(must, b)) = 0")
         .groupBy("doc_id", "th")
         .agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.size("ws")).alias("share"))
     )

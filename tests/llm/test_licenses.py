@@ -62,3 +62,10 @@ def test_given_tables(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     same(rows_of(op9_license_set_join(spark, sf)), docs)
+
+
+def test_each_template_has_its_own_label_only(spark):
+    docs = [(i, f"Some words before.\n{text}.\nAnd after", label) for i, (label, text) in enumerate(TEMPLATES)]
+    docs += [(100, "Licensed under CC BY 4.0.", ""), (101, "Licensed under CC BY-NC-SA 4.0.", "cc-by-nc,cc-by-sa")]
+    got = scan(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"))
+    assert {r.doc_id: r.labels for r in got.collect()} == {i: label for i, _, label in docs}
