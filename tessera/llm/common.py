@@ -59,9 +59,11 @@ def unstage(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of whole texts: a few hundred rows keep a Python worker's memory small."""
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
+    """Arrow batches of whole texts, bounded by bytes, so that very long texts come a few at a time and a
+    Python worker's memory stays small; ``rows`` bounds batches of short texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def splitters(keys: DataFrame, weight: str, order: list[str], n: int, oversample: int = 16) -> list[tuple]:

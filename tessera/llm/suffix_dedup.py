@@ -2,9 +2,11 @@
 
 A string of ``length`` bytes is dealt by its anchor: the smallest hash among the short byte grams that
 lie inside it, a function of the string alone, so equal strings meet in one shard. Only anchors that
-occur more than once go on. Each shard joins the stretches around its anchors, sorts all suffixes by
-induced sorting, and compares neighbours through the permuted array of common prefixes: a start whose
-neighbour shares ``length`` bytes is repeated.
+occur more than once go on, and equal stretches around them are kept once, with their number. Each
+shard joins its stretches and sorts all suffixes by induced sorting: suffixes are classified, the
+leftmost-smaller substrings are sorted by the same method, one level down, and the rest is induced from
+them. Permuted common prefixes, carried over from one place to the next, then part the sorted suffixes
+into classes that share ``length`` bytes; a start whose class counts twice is repeated.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -23,12 +25,14 @@ from .common import small_batches, stage, table, unstage
 
 LENGTH = 200
 GRAM = 32
-#: Bytes of one long text that are anchored at a time.
-SLICE = 1 << 21
+#: Bytes of one long text that are anchored at a time; places within it fit in 21 bits.
+SLICE = 1 << 20
 #: Bytes of text that one shard's suffix array covers.
-SHARD_BYTES = 1 << 20
-#: Different stretches under one anchor beyond which they are dealt again, by the strings they start.
+SHARD_BYTES = 2 << 20
+#: Different stretches under one anchor beyond which they are dealt again, by longer keys.
 HOT = 2_000
+#: Widths of the parts that stretches under a crowded anchor are cut into, the last being single strings.
+PARTS = (21, 4, 1)
 
 
 # ---------------------------------------------------------------- suffix array
@@ -37,19 +41,18 @@ HOT = 2_000
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it (the last, an end mark, counts as smaller)."""
     n = len(t)
-    step = np.sign(t[1:].astype(np.int64) - t[:-1].astype(np.int64))
-    # a run of equal symbols takes the type of what follows it
-    at = np.where(step != 0, np.arange(n - 1), n - 1)
-    nxt = np.minimum.accumulate(at[::-1])[::-1] if n > 1 else at
     s = np.ones(n, bool)
     if n > 1:
-        ends = np.append(step, 1)[nxt]
-        s[:-1] = ends > 0
+        up, same = t[:-1] < t[1:], t[:-1] == t[1:]
+        # a run of equal symbols takes the type of what follows it
+        at = np.where(same, n - 1, np.arange(n - 1))
+        nxt = np.minimum.accumulate(at[::-1])[::-1]
+        s[:-1] = np.append(up, True)[nxt]
     return s
 
 
-def _induce(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
-    """Suffix array from sorted leftmost-smaller suffixes, symbol by symbol; each symbol's bucket is
+def _induce_waves(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """Suffix array from sorted leftmost-smaller suffixes where symbols are few: each symbol's bucket is
     scanned in waves, a wave being what the one before has put into the same bucket."""
     n = len(t)
     sa = np.full(n, -1, np.int64)
@@ -60,10 +63,10 @@ def _induce(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarr
 
     def put(found: np.ndarray, forward: bool) -> None:
         c = t[found]
-        order = np.argsort(c, kind="stable")
+        order = np.argsort(c, kind="stable")  # symbols of 16 bits are sorted by radix
         found, c = found[order], c[order]
-        at = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        sizes = np.diff(np.append(at, len(c)))
+        at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+        sizes = np.diff(np.concatenate((at, [len(c)])))
         rank = np.arange(len(c)) - np.repeat(at, sizes)
         if forward:
             sa[heads[c] + rank] = found
@@ -107,16 +110,51 @@ def _induce(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarr
     return sa
 
 
+def _induce_each(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """The same where symbols are many and buckets small: one suffix at a time."""
+    n = len(t)
+    first = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=k))))
+    # the symbol of the suffix that a suffix induces, or -1; place n stands for an empty slot
+    before = np.concatenate(([0], t[:-1])).astype(np.int64)
+    larger = np.concatenate(([False], ~s[:-1]))
+    smaller = np.concatenate(([False], s[:-1]))
+    sa = np.full(n, n, np.int64)
+    seeds = seeds[np.argsort(t[seeds], kind="stable")]
+    c = t[seeds]
+    at = np.flatnonzero(np.concatenate((c[1:] != c[:-1], [True])))  # the last seed of each symbol
+    sa[first[c + 1] - 1 - (np.repeat(at, np.diff(np.concatenate(([-1], at)))) - np.arange(len(c)))] = seeds
+    slots, heads, induced = sa.tolist(), first[:-1].tolist(), np.append(np.where(larger, before, -1), -1).tolist()
+    for j in slots:  # sees what is put further on meanwhile
+        c = induced[j]
+        if c >= 0:
+            at = heads[c]
+            slots[at] = j - 1
+            heads[c] = at + 1
+    # the larger-type suffixes and the end mark stay; read from the right, the others are put anew
+    sa = np.array(slots, np.int64)
+    sa[(sa < n) & np.append(s, False)[sa]] = n
+    sa[0] = n - 1
+    slots, tails, induced = sa[::-1].tolist(), (n - first[1:]).tolist(), np.append(np.where(smaller, before, -1), -1).tolist()
+    for j in slots:
+        c = induced[j]
+        if c >= 0:
+            at = tails[c]
+            slots[at] = j - 1
+            tails[c] = at + 1
+    return np.array(slots[::-1], np.int64)
+
+
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Suffixes of ``t`` in order. ``t`` ends with a 0 that occurs nowhere else; symbols are below ``k``."""
     n = len(t)
-    if n <= 2 or k > 4096:  # a recursion's large alphabet: order by doubling prefixes instead
-        return _by_doubling(t)
+    few = n > 64 * k
+    t = t.astype(np.uint16 if few and k <= 1 << 16 else np.int64)
+    induce = _induce_waves if few else _induce_each
     s = _types(t)
     left = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     if len(left) < 2:
-        return _induce(t, s, left, k)
-    sa = _induce(t, s, left, k)  # orders the leftmost-smaller substrings
+        return induce(t, s, left, k)
+    sa = induce(t, s, left, k)  # orders the leftmost-smaller substrings
     is_left = np.zeros(n, bool)
     is_left[left] = True
     order = sa[is_left[sa]]
@@ -142,55 +180,56 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         ranked[reduced] = np.arange(len(left))
     else:
         ranked = suffix_array(reduced, count)
-    return _induce(t, s, left[ranked], k)
+    return induce(t, s, left[ranked], k)
 
 
-def _by_doubling(t: np.ndarray) -> np.ndarray:
-    n = len(t)
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: max(0, n - step)] = rank[step:]
-        key = rank * (n + 1) + after + 1
-        sa = np.argsort(key, kind="stable")
-        ordered = key[sa]
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        if rank[sa[-1]] == n - 1:
-            return sa
-        step *= 2
-
-
-def repeated(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which of the given starts begin a string of ``length`` bytes that another of them begins too.
-
-    ``text`` holds stretches, each closed by an end byte; a start has ``length`` bytes left.
+def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, lanes: int = 1 << 14) -> np.ndarray:
+    """Permuted common prefixes: for each place of ``text`` (which ends with a symbol of its own), the bytes,
+    up to ``most``, that its suffix shares with the one before it in ``sa``.
+
+    In text order each value is at least the one before less one, so it's carried over and only ever
+    extended; ``lanes`` places of the text, far apart, go forward together.
+    """
+    n = len(sa)
+    before = np.full(n, -1, np.int64)
+    before[sa[2:]] = sa[1:-1]  # the first of ``sa`` is the end mark, which shares nothing
+    width = -(-n // lanes)
+    room = np.concatenate((text, np.zeros(most + 16 + n - len(text), np.uint8)))
+    words = np.ndarray(len(room) - 8, "<u8", room.data, strides=(1,))
+    out = np.zeros(width * lanes, np.int64)
+    starts = np.arange(lanes) * width
+    carried = np.zeros(lanes, np.int64)
+    for step in range(width):
+        here = starts + step
+        here = here[here < n]
+        other = before[here]
+        got = np.maximum(carried[: len(here)] - 1, 0)
+        got[other < 0] = 0
+        live = np.flatnonzero((other >= 0) & (got < most))
+        while len(live):
+            x = words[here[live] + got[live]] ^ words[other[live] + got[live]]
+            whole = x == 0
+            got[live] += np.where(whole, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3)
+            live = live[whole & (got[live] < most)]
+        carried[: len(here)] = np.minimum(got, most)
+        out[here] = carried[: len(here)]
+    return out[:n]
+
+
+def repeated(text: np.ndarray, starts: np.ndarray, weight: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which of the given starts begin a string of ``length`` bytes that, by weights, occurs twice.
+
+    ``text`` holds stretches, each closed by an end byte that occurs nowhere else in them; a start has
+    ``length`` bytes left.
     """
-    flag = np.zeros(len(text) + 1, bool)
-    flag[starts] = True
     sa = suffix_array(np.append(text.astype(np.int64) + 1, 0), 257)
-    order = sa[flag[sa]]
-    # permuted common prefixes: in text order, each start against its predecessor among the suffixes,
-    # eight bytes a round and only as far as ``length``
-    before = np.full(len(text) + 1, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    at = np.sort(starts)
-    other = before[at]
-    equal = other >= 0
-    live = np.flatnonzero(equal)
-    padded = np.append(text, np.zeros(length + 8, np.uint8))
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    depth = 0
-    while depth < length and len(live):
-        depth_now = min(depth, length - 8)
-        bad = (words[at[live] + depth_now] != words[other[live] + depth_now]).any(axis=1)
-        equal[live[bad]] = False
-        live = live[~bad]
-        depth += 8
-    out = np.zeros(len(text) + 1, bool)
-    out[at[equal]] = True
-    out[other[equal]] = True
+    shared = common_prefixes(text, sa, length)
+    group = np.cumsum(shared[sa] < length)  # suffixes in order, parted where they share less
+    counted = np.zeros(len(sa), np.int64)
+    counted[starts] = np.minimum(weight, 2)
+    total = np.bincount(group, weights=counted[sa])
+    out = np.zeros(len(sa), bool)
+    out[sa] = total[group] >= 2
     return out[starts]
 
 
@@ -199,118 +238,144 @@ def repeated(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.n
 
 def _grams(b: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each position on, by doubling."""
-    h, size, base = b.astype(np.uint64) + np.uint64(1), 1, np.uint64(0x9E3779B97F4A7C15)
+    h, size, base = b.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
     while size < GRAM:
-        h = h[:-size] * base + h[size:]
-        base = base * base
+        h = h[:-size] * np.uint64(base) + h[size:]
+        base = base * base % (1 << 64)
         size *= 2
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first start, number of starts) of each run of starts that share an anchor."""
+def anchors(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first start, number of starts, place) of each run of starts that share an anchor."""
     out = []
+    places = np.uint64((1 << 21) - 1)
     for lo in range(0, max(0, len(b) - length + 1), SLICE):
         part = b[lo : lo + SLICE + length - 1]
         n = len(part) - length + 1
         h = _grams(part)
-        w, at = length - GRAM + 1, np.arange(len(h))
-        span = 1
-        while span < w:  # place of the leftmost smallest hash in a growing window
+        # hash and place in one number: its smallest in a window is the leftmost smallest hash
+        low = (h & ~places) | np.arange(len(h), dtype=np.uint64)
+        w, span = length - GRAM + 1, 1
+        while span < w:
             step = min(span, w - span)
-            a, c = at[:-step], at[step:]
-            at = np.where(h[c] < h[a], c, a)
+            low = np.minimum(low[:-step], low[step:])
             span += step
-        at = at[:n]
-        cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        out.append((h[at[cut]].view(np.int64), cut + lo, np.diff(np.append(cut, n))))
+        at = (low[:n] & places).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        out.append((h[at[cut]].view(np.int64), cut + lo, np.diff(np.append(cut, n)), at[cut] + lo))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-_RUN = "doc bigint, first bigint, n bigint, anchor bigint, stretch binary"
+_RUN = "d1 bigint, d2 bigint, first bigint, n bigint, at bigint, anchor bigint, stretch binary"
 
 
 def _runs(length: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d1, d2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                h, first, n = anchors(np.frombuffer(raw, np.uint8), length)
+                h, first, n, at = anchors(np.frombuffer(raw, np.uint8), length)
                 for i in range(0, len(h), 20_000):
                     f, m = first[i : i + 20_000], n[i : i + 20_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(f), doc)), pa.array(f), pa.array(m), pa.array(h[i : i + 20_000]),
-                         pa.array([xxhash.xxh3_128_digest(raw[a : a + k + length - 1]) for a, k in zip(f.tolist(), m.tolist(), strict=True)], pa.binary())],
-                        ["doc", "first", "n", "anchor", "stretch"],
-                    )
+                    one = [np.full(len(f), d1), np.full(len(f), d2), f, m, at[i : i + 20_000] - f, h[i : i + 20_000]]
+                    digest = [xxhash.xxh3_128_digest(raw[a : a + k + length - 1]) for a, k in zip(f.tolist(), m.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, one), pa.array(digest, pa.binary())], ["d1", "d2", "first", "n", "at", "anchor", "stretch"])
 
     return find
 
 
+def _narrow(parts: DataFrame, width: int, length: int) -> DataFrame:
+    """Cut stretches by how far a start lies before its anchor, in steps of ``width``, and keep the parts
+    whose common core (the bytes that all strings of the step hold) occurs again.
+
+    ``parts`` has stretch, lo (its first start within the stretch), n (starts), at (the anchor's place
+    within the body), m (how often it occurs), body.
+    """
+    k = F.explode(F.sequence(F.floor((F.col("at") - F.col("n") + 1) / width), F.floor(F.col("at") / width)))
+    cut = parts.select("*", k.alias("k"))
+    begin = F.greatest(F.lit(0), F.col("at") - width * (F.col("k") + 1) + 1)
+    end = F.least(F.col("n") - 1, F.col("at") - width * F.col("k"))
+    core = F.substring("body", (F.col("at") - width * F.col("k") + 1).cast("int"), F.lit(length - width + 1))
+    cut = cut.select("*", begin.alias("b"), end.alias("e"), F.xxhash64("k", core).alias("c1"), F.xxhash64(core, "k").alias("c2"))
+    again = cut.groupBy("c1", "c2").agg(F.sum("m").alias("s")).where("s > 1").select("c1", "c2")
+    return cut.join(again, ["c1", "c2"], "left_semi").select(
+        "stretch",
+        (F.col("lo") + F.col("b")).alias("lo"),
+        (F.col("e") - F.col("b") + 1).alias("n"),
+        (F.col("at") - F.col("b")).alias("at"),
+        "m",
+        F.substring("body", (F.col("b") + 1).cast("int"), (F.col("e") - F.col("b") + length).cast("int")).alias("body"),
+    )
+
+
 def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, lo, hi): byte ranges that repeated strings cover. ``texts``: doc (a hash of the text), text;
-    equal texts share a doc, each row being an occurrence of its own."""
+    """(d1, d2, lo, hi): byte ranges that repeated strings cover. ``texts``: d1, d2 (two hashes of the text),
+    text; equal texts share them, each row being an occurrence of its own."""
     runs = stage(texts.where(F.octet_length("text") >= length).mapInArrow(_runs(length), _RUN), "suffix-runs")
     # an anchor that occurs once lies in no repeated string
     often = runs.groupBy("anchor").count().where("count > 1").select("anchor")
     live = stage(runs.join(often, "anchor"), "suffix-live")
     unstage(runs)
-    # equal stretches are sorted once, or twice where they occur again
-    different = live.groupBy("anchor", "stretch").agg(F.min(F.struct("doc", "first", "n")).alias("r"), F.count(F.lit(1)).alias("m"))
+    # equal stretches are sorted once, with their number
+    different = live.groupBy("anchor", "stretch").agg(F.min(F.struct("d1", "d2", "first", "n", "at")).alias("r"), F.count(F.lit(1)).alias("m"))
     different = stage(different.select("anchor", "stretch", "r.*", "m"), "suffix-stretches")
-    total = different.agg(F.sum((F.col("n") + length) * F.least("m", F.lit(2)))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
     crowded = different.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     body = F.substring(F.col("text").cast("binary"), F.col("first").cast("int") + 1, (F.col("n") + length - 1).cast("int"))
     bodies = stage(
         different.join(crowded, "anchor", "left")
-        .join(texts.dropDuplicates(["doc"]), "doc")
-        .select("anchor", "stretch", "n", "m", "hot", body.alias("body")),
+        .join(texts.dropDuplicates(["d1", "d2"]), ["d1", "d2"])
+        .select("anchor", "stretch", "n", "at", "m", "hot", body.alias("body")),
         "suffix-bodies",
     )
     unstage(different)
-    cool = bodies.where("hot is null").select("stretch", "n", "m", "body", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    # under a crowded anchor every start is dealt by its own string, so that equal ones still meet, and
-    # equal strings are counted before they are sorted
-    warm = (
-        bodies.where("hot is not null")
-        .select("stretch", "m", "body", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("at"))
-        .select("stretch", "at", "m", F.substring("body", F.col("at").cast("int") + 1, F.lit(length)).alias("body"))
-    )
+    # under a crowded anchor starts are dealt by ever longer parts of their own strings, so that equal
+    # ones still meet, and equal strings are counted before they are sorted
+    warm = bodies.where("hot is not null").select("stretch", F.lit(0).cast("long").alias("lo"), "n", "at", "m", "body")
+    for width in PARTS:
+        narrowed = stage(_narrow(warm, width, length), "suffix-parts")
+        unstage(warm)
+        warm = narrowed
     single = warm.groupBy("body").agg(F.sum("m").alias("m"))
-    single = single.select(F.col("body").alias("stretch"), F.lit(1).cast("long").alias("n"), "m", "body", (F.lit(shards) + F.pmod(F.xxhash64("body"), F.lit(8 * shards))).alias("shard"))
+    cool = bodies.where("hot is null")
+    total = cool.agg(F.sum(F.col("n") + length)).first()[0] or 0
+    shards = max(1, -(-total // SHARD_BYTES))
+    cool = cool.select("stretch", "n", "m", "body", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    alone = F.lit(shards) + F.pmod(F.xxhash64("body"), F.lit(max(1, -(-single.count() * (length + 1) // SHARD_BYTES))))
+    single = single.select(F.col("body").alias("stretch"), F.lit(1).cast("long").alias("n"), "m", "body", alone.alias("shard"))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        twice = rows.loc[rows.index.repeat(np.minimum(rows["m"], 2))].reset_index(drop=True)
-        text = np.frombuffer(b"".join(b + b"\xff" for b in twice["body"]), np.uint8)
-        sizes = twice["body"].map(len).to_numpy() + 1
+        text = np.frombuffer(b"".join(b + b"\xff" for b in rows["body"]), np.uint8)
+        sizes = rows["body"].map(len).to_numpy() + 1
         base = np.cumsum(sizes) - sizes
-        n = twice["n"].to_numpy()
-        starts = np.repeat(base, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = repeated(text, starts, length)
-        owner = np.repeat(np.arange(len(twice)), n)
-        into = starts - base[owner]
+        n = rows["n"].to_numpy()
+        owner = np.repeat(np.arange(len(rows)), n)
+        into = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = repeated(text, base[owner] + into, rows["m"].to_numpy()[owner], length)
         # runs of repeated starts within a stretch
         edge = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
         new = np.append(True, owner[1:] != owner[:-1])
         begin = np.flatnonzero(hit & (new | (edge[:-1] == 1)))
         close = np.append(new[1:], True) | (edge[1:] == -1)
         end = np.flatnonzero(hit & close)
-        names = twice["stretch"].to_numpy()[owner[begin]]
-        return pd.DataFrame({"stretch": names, "lo": into[begin], "hi": into[end]}).drop_duplicates()
+        return pd.DataFrame({"stretch": rows["stretch"].to_numpy()[owner[begin]], "lo": into[begin], "hi": into[end]})
 
     out = "stretch binary, lo bigint, hi bigint"
     found = stage(cool.unionByName(single).groupBy("shard").applyInPandas(search, out), "suffix-found")
-    starts = warm.join(found.select(F.col("stretch").alias("body")), "body").select("stretch", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    whole = found.join(bodies.where("hot is null").select("stretch").distinct(), "stretch", "left_semi")
-    ranges = whole.unionByName(starts)
-    return live.select("doc", "first", "stretch").join(ranges, "stretch").select(
-        "doc", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length).alias("hi")
+    starts = warm.join(found.select(F.col("stretch").alias("body")), "body").select("stretch", "lo", F.col("lo").alias("hi"))
+    whole = found.where(F.octet_length("stretch") == 16) if length != 16 else found
+    ranges = stage(whole.unionByName(starts), "suffix-ranges")
+    unstage(bodies, warm, found)
+    gone = live.select("d1", "d2", "first", "stretch").join(ranges, "stretch").select(
+        "d1", "d2", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length).alias("hi")
     )
+    gone = stage(gone, "suffix-spans")
+    unstage(live, ranges)
+    return gone
 
 
 def _cut(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:
@@ -347,13 +412,15 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Every byte goes that a string of ``length`` bytes covers which also starts anywhere else, in the
     same document or another; all strings are judged on the input. A null text counts as empty;
     repeated rows repeat each other, so long ones lose everything; an empty table gives no rows; extra
-    columns are ignored.
+    columns are ignored. A very long text is anchored slice by slice and comes back as one row.
     """
     small_batches(docs.sparkSession, 200)
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("doc"), "text")
-    gone = spans(rows.select("doc", "text"), length).distinct().groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    gone = stage(gone, "suffix-spans")
-    joined = rows.join(gone, "doc", "left")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
+    gone = spans(rows.select("d1", "d2", "text"), length)
+    # the ranges of equal texts, and those of one start after another, are the same rows
+    gone = gone.distinct().groupBy("d1", "d2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    joined = rows.join(gone, ["d1", "d2"], "left")
     none = F.array().cast("array<bigint>")
     done = joined.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut("text", F.coalesce("lo", none), F.coalesce("hi", none)).alias("x"))
     return done.select("doc_id", "n_bytes", "x.n_removed", "x.n_spans", "x.kept")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import suffix_dedup
-from tessera.llm.suffix_dedup import dedup, suffix_array
+from tessera.llm.suffix_dedup import common_prefixes, dedup, suffix_array
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -61,9 +61,40 @@ def test_against_brute_force(spark):
 
 
 def test_crowded_anchors_and_slices(spark):
-    with mock.patch.multiple(suffix_dedup, HOT=2, SHARD_BYTES=2000):
+    with mock.patch.multiple(suffix_dedup, HOT=2, SHARD_BYTES=2000, SLICE=300):
         check(spark)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_recursion_with_many_symbols(seed):
+    rng = np.random.default_rng(seed)
+    words = [rng.integers(1, 30, 9) for _ in range(40)]
+    t = np.append(np.concatenate([words[i] for i in rng.integers(0, 40, 900)]), 0)  # a second level of 40 names and more
+    assert len(t) > 64 * 31
+    sa = suffix_array(t.astype(np.int64), 31)
+    assert sorted(sa.tolist()) == list(range(len(t)))
+    raw = t.astype(">u2").tobytes()
+    assert all(raw[2 * a :] < raw[2 * b :] for a, b in zip(sa, sa[1:], strict=False))
+
+
+def test_permuted_common_prefixes():
+    rng = np.random.default_rng(4)
+    text = np.append(np.tile(rng.integers(0, 4, 90), 5), 255).astype(np.uint8)
+    sa = suffix_array(np.append(text.astype(np.int64) + 1, 0), 257)
+    got = common_prefixes(text, sa, 50, lanes=3)
+    raw = text.tobytes()
+    for x, y in zip(sa, sa[1:], strict=False):
+        same = next((i for i in range(len(raw)) if raw[x + i : x + i + 1] != raw[y + i : y + i + 1] or max(x, y) + i >= len(raw)))
+        assert got[y] == min(same, 50)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcdefgh ", k=1_500_000))
+    docs = [(1, long), (2, long[700_000:700_400]), (3, "x" + long[1_048_500:1_048_720])]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (620, 2), 2: (400, 1), 3: (220, 1)}
+
+
 def test_empty(spark):
     assert dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
