@@ -1,9 +1,11 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Every distinct word pair of a document is a row; the pair counts of the whole corpus, hashed over the
-cluster, are joined to those rows; a pair that no other document holds backs off to its second word.
-Either way one word count is still needed (the pair's first word, or the second), which a second join
-brings; a sum per document ends it. A document's own words never count as evidence for it.
+Every distinct word pair of a document is a row. Rows are dealt by the hash of their pair, or of their
+second word where that is rare, so that one sorted pass over a partition counts the pair and the word in
+the whole corpus and compares them with the document's own; a pair that no other document holds backs off
+to its second word. Counts of frequent words and pairs, of which there can only be a bounded number, are
+broadcast beforehand, so no key is hot. The counts of rare first words come by a join; a sum per document
+ends it. A document's own words never count as evidence for it.
 """
 
 from __future__ import annotations
@@ -15,114 +17,261 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import small_batches, stage, table, unstage
 
 BACKOFF = 0.4
-#: Words that make up this share of all words are at most 1 / FREQUENT many, so their counts are broadcast.
+#: Words, or pairs, that make up this share of all are at most 1 / FREQUENT many, so their counts are broadcast.
 FREQUENT = 1e-5
-#: The hash space of pairs is worked through in so many slices, which bounds the rows on disk at once.
-SLICES = 3
+#: The hash space of pairs is worked through in so many slices; the rows on disk at once are that part of
+#: all rows, which are as many as there are words, so disk is in a fixed proportion to the input.
+SLICES = 5
+#: Bytes that are hashed at a time.
+PIECE = 1 << 20
 _START = 0  # stands before the first word of every document
-_PAIR = "doc bigint, p bigint, w bigint, n bigint, own_p bigint, own_w bigint"
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-def _batch(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each distinct word, 0 first for the start mark; document and word code of every token)."""
-    lists = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    codes, words = pd.factorize(np.array([w for x in lists for w in x], object))
-    hashes = np.array([_START, *[(xxhash.xxh64_intdigest(w) >> 1) or 1 for w in words]], np.int64)
-    return hashes, np.repeat(np.arange(len(lists)), sizes), codes.astype(np.int64) + 1
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+#: A random number for each byte, capitals taking that of their small letter.
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_BYTE[65:91] = _BYTE[97:123]
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    key = str(base)
+    if len(_powers.get(key, ())) < n:
+        _powers[key] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))), dtype=np.uint64)
+    return _powers[key][:n]
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, index of its text), words being parted by ASCII white space, without case."""
+    raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    buffer = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
+    space = _SPACE[buffer]
+    hashes, at, lo = [], [], 0
+    while lo < len(buffer):
+        hi = min(len(buffer), lo + PIECE)
+        while hi < len(buffer) and not space[hi - 1]:  # up to the end of a word
+            more = space[hi : hi + PIECE]
+            hi += int(more.argmax()) + 1 if more.any() else len(more)
+        part, gap = buffer[lo:hi], space[lo:hi]
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[part] * _power(_ODD, len(part)), dtype=np.uint64)))
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
+        begin, end = edge[::2], edge[1::2]
+        h = (sums[end] - sums[begin]) * _power(_INVERSE, len(part) + 1)[begin]
+        hashes.append(_mix(h + (end - begin).astype(np.uint64) * _ODD))
+        at.append(begin + lo)
+        lo = hi
+    if not hashes:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.concatenate(hashes).view(np.int64)
+    h[h == _START] = 1
+    return h, np.searchsorted(ends, np.concatenate(at), "right")
+
+
+def _pair(p: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _mix(p.view(np.uint64) * _ODD + w.view(np.uint64)).view(np.int64)
+
+
+def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Value of each wanted key in a sorted table, else -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], -1)
+
+
+def _before(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word before each word, whether it's the first of its text)."""
+    first = np.concatenate(([True], doc[1:] != doc[:-1]))[: len(h)]
+    return np.where(first, _START, np.concatenate(([_START], h[:-1]))[: len(h)]), first
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        hashes, _, codes = _batch(texts)
-        counts = np.bincount(codes, minlength=len(hashes)) if len(codes) else np.zeros(1, np.int64)
-        counts[0] = sum(bool(t and t.split()) for t in texts)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts.astype(np.int64))], ["w", "c"])
+        h, doc = words_of(batch.column(0).to_pylist())
+        codes, keys = pd.factorize(h)
+        counts = np.bincount(codes, minlength=len(keys))
+        rows = [pa.array(np.append(keys, _START)), pa.array(np.append(counts, len(np.unique(doc))))]
+        yield pa.RecordBatch.from_arrays(rows, ["w", "c"])
+
+
+def _count_pairs(frequent):
+    """Counts of pairs of two frequent words; no other pair can be frequent."""
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = frequent.value
+        for batch in batches:
+            h, doc = words_of(batch.column(0).to_pylist())
+            codes, keys = pd.factorize(h)
+            often = (_lookup(words, counts, keys) >= 0)[codes]
+            p, first = _before(h, doc)
+            both = often & np.where(first, _lookup(words, counts, np.array([_START]))[0] >= 0, np.concatenate(([False], often[:-1]))[: len(h)])
+            codes, pairs = pd.factorize(_pair(p[both], h[both]))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.bincount(codes, minlength=len(pairs)))], ["b", "c"])
+
+    return find
+
+
+def _pairs(frequent, total: int, backoff: float, slices: int, which: int):
+    """Rows of one slice. Of each distinct pair of a document: k (what it is dealt by), b (the pair), n (how
+    often), cp and cw (counts elsewhere of its first and second word, or less the document's own where
+    they are rare), p (its first word). Pairs whose counts are all known make one row for a document,
+    whose sum is ``known``."""
 
-def _pairs(slices: int, which: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, word_counts, pairs, pair_counts = frequent.value
         for batch in batches:
-            hashes, doc, code = _batch(batch.column(1).to_pylist())
-            if not len(code):
+            h, doc = words_of(batch.column(2).to_pylist())
+            if not len(h):
                 continue
-            size = len(hashes)
-            first = np.append(True, doc[1:] != doc[:-1])
-            before = np.where(first, 0, np.append(0, code[:-1]))
-            keys, n = np.unique((doc * size + before) * size + code, return_counts=True)
-            own, own_n = np.unique(np.concatenate((doc * size + code, np.unique(doc) * size)), return_counts=True)
-            w, rest = keys % size, keys // size
-            p, d = rest % size, rest // size
-            hp, hw = hashes[p], hashes[w]
-            mine = ((hp * 31 + hw) & 0x7FFFFFFF) % slices == which
-            count = lambda x: own_n[np.searchsorted(own, x)]
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            columns = (ids[d], hp, hw, n, count(d * size + p), count(d * size + w))
-            yield pa.RecordBatch.from_arrays([pa.array(c[mine].astype(np.int64)) for c in columns], ["doc", "p", "w", "n", "own_p", "own_w"])
+            codes, keys = pd.factorize(h)
+            known = _lookup(words, word_counts, keys)[codes]
+            held, _ = pd.factorize(doc * len(keys) + codes)  # a word of a document
+            own = np.bincount(held)[held]
+            p, first = _before(h, doc)
+            shift = lambda x, start: np.where(first, start, np.concatenate(([0], x[:-1])))
+            known_p, own_p = shift(known, _lookup(words, word_counts, np.array([_START]))[0]), shift(own, 1)
+            b = _pair(p, h)
+            k = np.where(known >= 0, b, h)
+            mine = (_mix(k.view(np.uint64)) >> np.uint64(33)) % np.uint64(slices) == np.uint64(which)
+            at = np.flatnonzero(mine)
+            if not len(at):
+                continue
+            same, _ = pd.factorize((shift(held, -1) + 1)[at] * (len(held) + 1) + held[at])
+            n = np.bincount(same)
+            one = np.empty(len(n), np.int64)
+            one[same[::-1]] = at[::-1]  # the first place of each distinct pair
+            cp = np.where(known_p[one] >= 0, known_p[one] - own_p[one], -own_p[one])
+            cw = np.where(known[one] >= 0, known[one] - own[one], -own[one])
+            both = (known_p[one] >= 0) & (known[one] >= 0)
+            c = np.full(len(n), -1, np.int64)
+            c[both] = _lookup(pairs, pair_counts, b[one[both]])
+            done = c >= 0
+            log = lambda x: np.log(np.maximum(x, 1).astype(float))
+            value = n[done] * np.where(c[done] > n[done], log(c[done] - n[done]) - log(cp[done]), math.log(backoff) + log(cw[done]) - math.log(max(total, 1)))
+            where = doc[one[done]]
+            some = np.flatnonzero(np.bincount(where)) if len(where) else where
+            sums = np.bincount(where, weights=value, minlength=1)[some] if len(where) else np.zeros(0)
+            number = np.bincount(where, weights=n[done], minlength=1)[some] if len(where) else np.zeros(0)
+            rest = one[~done]
+            d = np.concatenate((doc[rest], some))
+            zero = np.zeros(len(some), np.int64)
+            spread = _mix(some.astype(np.uint64) + np.uint64(1) + h[:1].view(np.uint64)).view(np.int64)
+            own_rows = lambda x, y: pa.array(np.concatenate((x, y)).astype(np.int64))
+            fixed = pa.array(np.concatenate((np.zeros(len(rest)), sums)), mask=np.concatenate((np.ones(len(rest), bool), np.zeros(len(some), bool))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(d)), batch.column(1).take(pa.array(d)), own_rows(k[rest], spread), own_rows(b[rest], spread),
+                 own_rows(n[~done], number), own_rows(cp[~done], zero), own_rows(cw[~done], zero), own_rows(np.where(cp[~done] < 0, p[rest], 0), zero), fixed],
+                ["doc_id", "th", "k", "b", "n", "cp", "cw", "p", "known"],
+            )
 
     return find
 
 
-def scores(docs: DataFrame, backoff: float = BACKOFF, slices: int = SLICES) -> DataFrame:
+def _broadcast_table(spark: SparkSession, *frames: DataFrame):
+    """Sorted keys and counts of frames of at most 1 / FREQUENT rows each."""
+    out = []
+    for frame in frames:
+        rows = np.array(sorted(map(tuple, frame.collect())), np.int64).reshape(-1, 2)
+        out += [np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1])]
+    return spark.sparkContext.broadcast(tuple(out))
+
+
+def _log(x: Column) -> Column:
+    return F.log(F.greatest(x, F.lit(1)).cast("double"))
+
+
+def scores(docs: DataFrame, backoff: float = BACKOFF, slices: int = SLICES, frequent: float = FREQUENT) -> DataFrame:
     """One row per document: doc_id, n_words, score (mean natural log of the words' scores).
 
     With c the counts in all other documents and N all words: a word after p scores c(p, w) / c(p) where
     that pair occurs elsewhere, else ``backoff`` * max(c(w), 1) / N. Words are parted by ASCII white
-    space and compared without case (ASCII). Null and empty texts have no words and score 0; repeated
-    rows are documents of their own and score alike; an empty table gives no rows; extra columns are
-    ignored.
+    space and compared without case (ASCII), by 64-bit hashes: two words that share one count as one. Null
+    and empty texts have no words and score 0; repeated rows are documents of their own and score alike; an
+    empty table gives no rows; extra columns are ignored. A very long text is hashed piece by piece.
     """
-    small_batches(docs.sparkSession, 200)
-    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), "text")
-    unigrams = stage(keyed.select("text").mapInArrow(_words, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
+    spark = docs.sparkSession
+    small_batches(spark, 2000)
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    texts = keyed.select("text")
+    unigrams = stage(texts.mapInArrow(_count_words, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
     total = unigrams.where(F.col("w") != _START).agg(F.sum("c")).first()[0] or 0
-    frequent = unigrams.where(F.col("c") >= max(1.0, total * FREQUENT))
-
-    def value(c) -> object:
-        """What a resolved word count adds: minus the log of a context, or a backed-off word's score."""
-        rest = F.greatest(c - F.col("own"), F.lit(1)).cast("double")
-        return F.col("n") * F.when(F.col("seen"), -F.log(rest)).otherwise(F.log(rest) - F.lit(math.log(max(total, 1))))
+    often = F.col("c") >= max(1.0, total * frequent)
+    words = unigrams.where(often).select("w", "c")
+    pair_counts = texts.mapInArrow(_count_pairs(_broadcast_table(spark, words)), "b bigint, c bigint").groupBy("b").agg(F.sum("c").alias("c"))
+    tables = _broadcast_table(spark, words, pair_counts.where(often))
 
-    sums, rare = [], []
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    row = f"doc_id {kind}, th bigint, k bigint, b bigint, n bigint, cp bigint, cw bigint, p bigint, known double"
+    seen = F.col("c") > F.col("n")
+    unseen = F.lit(math.log(backoff) - math.log(max(total, 1))) + _log(F.when(F.col("cw") >= 0, F.col("cw")).otherwise(F.col("c1") + F.col("cw")))
+    context = F.when(F.col("cp") >= 0, _log(F.col("cp"))).otherwise(F.lit(0.0))
+    value = F.coalesce("known", F.col("n") * F.when(seen, _log(F.col("c") - F.col("n")) - context).otherwise(unseen))
+    parts = []
     for i in range(slices):
-        pairs = stage(keyed.select("doc", "text").mapInArrow(_pairs(slices, i), _PAIR), "lm-pairs")
-        counts = pairs.groupBy("p", "w").agg(F.sum("n").alias("c"))
-        seen = F.col("c") > F.col("n")
-        scored = pairs.join(counts, ["p", "w"]).select(
-            "doc",
-            "n",
-            seen.alias("seen"),
-            F.when(seen, F.col("p")).otherwise(F.col("w")).alias("key"),
-            F.when(seen, F.col("own_p")).otherwise(F.col("own_w")).alias("own"),
-            (F.col("n") * F.when(seen, F.log((F.col("c") - F.col("n")).cast("double"))).otherwise(F.lit(math.log(backoff)))).alias("base"),
+        dealt = keyed.mapInArrow(_pairs(tables, total, backoff, slices, i), row).repartition("k").sortWithinPartitions("k", "b")
+        counted = dealt.select(
+            "*", F.sum("n").over(Window.partitionBy("k", "b")).alias("c"), F.sum("n").over(Window.partitionBy("k")).alias("c1")
         )
-        known = frequent.select(F.col("w").alias("key"), F.col("c").alias("ck"))
-        met = scored.join(F.broadcast(known), "key", "left")  # at most 1 / FREQUENT rows
-        met = stage(met, "lm-met")
-        unstage(pairs)
-        rare.append(met.where("ck is null"))
-        sums.append(met.select("doc", "n", (F.col("base") + F.when(F.col("ck").isNotNull(), value(F.col("ck"))).otherwise(F.lit(0.0))).alias("s")))
-    left = reduce(DataFrame.unionByName, rare)
-    late = left.join(unigrams.withColumnRenamed("w", "key"), "key").select("doc", F.lit(0).cast("long").alias("n"), value(F.col("c")).alias("s"))
-    per_doc = reduce(DataFrame.unionByName, [*sums, late]).groupBy("doc").agg(F.sum("s").alias("s"), F.sum("n").alias("words"))
-    ids = keyed.select("doc_id", "doc")
-    copies = ids.groupBy("doc").agg(F.count(F.lit(1)).alias("copies"))
-    out = ids.join(per_doc.join(copies, "doc"), "doc", "left")
+        # a seen pair of a rare first word still lacks that word's count
+        valued = counted.select("doc_id", "th", "n", "cp", value.alias("s"), F.when(F.col("known").isNull() & seen & (F.col("cp") < 0), F.col("p")).alias("rare"))
+        part = valued.groupBy("doc_id", "th", "rare").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("cp").alias("cp"))
+        parts.append(stage(part, "lm-sums"))
+    sums = reduce(DataFrame.unionByName, parts)
+    late = sums.where("rare is not null").join(unigrams.select(F.col("w").alias("rare"), "c"), "rare")
+    late = late.select("doc_id", "th", (-F.col("n") * _log(F.col("c") + F.col("cp"))).alias("s"), F.lit(0).cast("long").alias("n"))
+    per_doc = sums.select("doc_id", "th", "s", "n").unionByName(late).groupBy("doc_id", "th").agg(F.sum("s").alias("s"), F.sum("n").alias("words"))
+    ids = keyed.select("doc_id", "th")
+    copies = ids.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("copies"))
+    known = stage(copies.alias("c").join(per_doc.alias("d"), F.col("c.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("c.th") == F.col("d.th"))).select("c.*", "s", "words"), "lm-documents")
+    unstage(unigrams, *parts)
+    out = ids.alias("i").join(known.alias("k"), F.col("i.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("i.th") == F.col("k.th")), "left")
     return out.select(
-        "doc_id",
+        F.col("i.doc_id").alias("doc_id"),
         F.coalesce((F.col("words") / F.col("copies")).cast("long"), F.lit(0)).alias("n_words"),
-        F.round(F.coalesce(F.col("s") / F.col("words"), F.lit(0.0)), 9).alias("score"),
+        F.round(F.coalesce(F.col("s") / F.col("words"), F.lit(0.0)), 6).alias("score"),
     )
 
 
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+t AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+s AS (SELECT r, w, coalesce(lag(w) OVER (PARTITION BY r ORDER BY i), '') AS p FROM t),
+words AS (SELECT w, count(*) AS c FROM t GROUP BY w UNION ALL SELECT '', count(DISTINCT r) FROM t),
+own_words AS (SELECT r, w, count(*) AS c FROM t GROUP BY r, w UNION ALL SELECT DISTINCT r, '', 1 FROM t),
+own AS (SELECT r, p, w, count(*) AS n FROM s GROUP BY r, p, w),
+pairs AS (SELECT p, w, sum(n) AS c FROM own GROUP BY p, w),
+scored AS (
+  SELECT o.r, o.n, o.n * CASE WHEN pairs.c > o.n THEN ln((pairs.c - o.n)::DOUBLE) - ln(greatest(wp.c - op.c, 1)::DOUBLE)
+         ELSE ln(0.4) + ln(greatest(ww.c - ow.c, 1)::DOUBLE) - ln((SELECT count(*) FROM t)::DOUBLE) END AS s
+  FROM own o JOIN pairs USING (p, w) JOIN words wp ON wp.w = o.p JOIN own_words op ON op.r = o.r AND op.w = o.p
+  JOIN words ww ON ww.w = o.w JOIN own_words ow ON ow.r = o.r AND ow.w = o.w),
+per AS (SELECT r, sum(s) AS s, sum(n) AS n FROM scored GROUP BY r)
+SELECT d.doc_id, coalesce(per.n, 0)::BIGINT AS n_words, round(coalesce(per.s / per.n, 0.0), 6) AS score
+FROM d LEFT JOIN per USING (r)
+"""
+
+
 def op1_stupid_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff scores of all documents against all other documents."""
     return scores(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import lm_scoring
 from .decontaminate import op10_winnowing_decontamination
 from .fingerprint import op6_multiset_fingerprints
 from .licenses import op9_license_set_join
@@ -29,4 +30,6 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_stupid_backoff_scores": lm_scoring.ORACLE_SQL,
+}

@@ -2,7 +2,12 @@ import math
 import random
 from collections import Counter
 
-from tessera.llm.lm_scoring import scores
+import pytest
+
+import numpy as np
+
+from tessera.llm import lm_scoring
+from tessera.llm.lm_scoring import scores, words_of
 
 
 def brute(docs):
@@ -21,14 +26,36 @@ def brute(docs):
     return sorted(out)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("frequent", [1e-5, 0.01, 0.06, 2.0])
+def test_against_brute_force(spark, frequent):
+    """From all words known beforehand to none."""
     rng = random.Random(8)
     docs = [(i, " ".join(rng.choices("The the of a b c d e f gé".split(), k=rng.choice([0, 1, 5, 80])) + [f"x{rng.randrange(200)}"])) for i in range(80)]
     docs += [(100, None), (101, ""), (102, docs[3][1]), (3, docs[3][1]), (None, "the of"), (103, "lone")]
-    got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_words, r.score) for r in scores(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, w int")).collect())
+    got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_words, r.score) for r in scores(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, w int"), frequent=frequent).collect())
     for a, b in zip(got, brute(docs), strict=True):
-        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6, (a, b)
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-6, (a, b)
 
 
 def test_empty(spark):
     assert scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_of_pieces(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aB \t\n\x0bé\u00a0", k=rng.choice([0, 1, 9, 300]))) for _ in range(40)] + [None, "x" * 5000, " a  b "]
+    whole = words_of(texts)
+    monkeypatch.setattr(lm_scoring, "PIECE", 64)
+    parts = words_of(texts)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    want = [(i, w) for i, t in enumerate(texts) for w in (t or "").encode().lower().split()]
+    assert [i for i, _ in want] == whole[1].tolist()
+    by_word: dict = {}
+    assert all(by_word.setdefault(w, h) == h for (_, w), h in zip(want, whole[0].tolist(), strict=True))
+    assert len(set(by_word.values())) == len(by_word) and len(np.unique(whole[0])) == len(by_word)
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))
+    got = scores(spark.createDataFrame([(1, long), (2, "w1 w2 w9"), (3, None)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_words for r in got} == {1: 400_000, 2: 3, 3: 0}
