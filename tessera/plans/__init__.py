@@ -1,0 +1,6 @@
+"""Registered queries; importing the package adds those of every module."""
+
+from . import queries
+from . import ancestry_queries, lineage_queries  # isort: skip
+
+QUERY_MODULES = (queries, lineage_queries, ancestry_queries)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import lineage_queries  # noqa: F401  adds its queries
+
 from tessera.plans.queries import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
