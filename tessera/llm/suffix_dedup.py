@@ -2,8 +2,9 @@
 
 A string of ``length`` bytes is dealt by its anchor: the smallest hash among the short byte grams that
 lie inside it, a function of the string alone, so equal strings meet in one shard. Only anchors that
-occur more than once go on, and equal stretches around them are kept once, with their number. Each
-shard joins its stretches and sorts all suffixes by induced sorting: suffixes are classified, the
+occur more than once go on, and equal stretches around them are kept once, with their number. Two equal
+strings in different stretches share their anchor and a flank of it, 116 bytes in all, on one side at least;
+a stretch that shares neither flank with a different one is settled by its number. Each shard joins its stretches and sorts all suffixes by induced sorting: suffixes are classified, the
 leftmost-smaller substrings are sorted by the same method, one level down, and the rest is induced from
 them. Permuted common prefixes, carried over from one place to the next, then part the sorted suffixes
 into classes that share ``length`` bytes; a start whose class counts twice is repeated.
@@ -248,8 +249,22 @@ def _grams(b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first start, number of starts, place) of each run of starts that share an anchor."""
+def _flank(h: np.ndarray, at: np.ndarray, side: int, length: int) -> np.ndarray:
+    """A hash of the anchor and of the bytes right (1) or left (-1) of it that the nearer half of all strings
+    around it hold: from ``h`` at places that cover them. 0 where they don't lie in the text."""
+    reach = length - GRAM - (length - GRAM) // 2  # bytes beyond the anchor
+    steps = [*range(0, reach, GRAM), reach]
+    inside = (at + side * reach >= 0) & (at + side * reach < len(h))
+    out = np.full(len(at), side & 3, np.uint64)
+    for step in steps:
+        out = (out ^ h[np.where(inside, at + side * step, 0)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.where(inside, out | np.uint64(1), np.uint64(0)).view(np.int64)
+
+
+def anchors(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(hash, first start, number of starts, place, right flank, left flank) of each run of starts that share an
+    anchor."""
     out = []
     places = np.uint64((1 << 21) - 1)
     for lo in range(0, max(0, len(b) - length + 1), SLICE):
@@ -265,26 +280,40 @@ def anchors(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray
             span += step
         at = (low[:n] & places).astype(np.int64)
         cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        out.append((h[at[cut]].view(np.int64), cut + lo, np.diff(np.append(cut, n)), at[cut] + lo))
+        place = at[cut]
+        out.append((h[place].view(np.int64), cut + lo, np.diff(np.append(cut, n)), place + lo, _flank(h, place, 1, length), _flank(h, place, -1, length)))
     if not out:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 6
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-_RUN = "d1 bigint, d2 bigint, first bigint, n bigint, at bigint, anchor bigint, stretch binary"
+_RUN = "d1 bigint, d2 bigint, first bigint, n bigint, at bigint, anchor bigint, right bigint, left bigint, stretch binary"
+_NAMES = [c.split()[0] for c in _RUN.split(", ")]
 
 
 def _runs(length: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        digests: list[bytes] = []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(c)) for c in zip(*held, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary())], _NAMES)
+
         for batch in batches:
             for d1, d2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                h, first, n, at = anchors(np.frombuffer(raw, np.uint8), length)
+                h, first, n, at, right, left = anchors(np.frombuffer(raw, np.uint8), length)
                 for i in range(0, len(h), 20_000):
-                    f, m = first[i : i + 20_000], n[i : i + 20_000]
-                    one = [np.full(len(f), d1), np.full(len(f), d2), f, m, at[i : i + 20_000] - f, h[i : i + 20_000]]
-                    digest = [xxhash.xxh3_128_digest(raw[a : a + k + length - 1]) for a, k in zip(f.tolist(), m.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, one), pa.array(digest, pa.binary())], ["d1", "d2", "first", "n", "at", "anchor", "stretch"])
+                    cut = slice(i, i + 20_000)
+                    f, m = first[cut], n[cut]
+                    held.append([np.full(len(f), d1), np.full(len(f), d2), f, m, at[cut] - f, h[cut], right[cut], left[cut]])
+                    digests += [xxhash.xxh3_128_digest(raw[a : a + k + length - 1]) for a, k in zip(f.tolist(), m.tolist(), strict=True)]
+                    if len(digests) >= 20_000:
+                        yield batch_of()
+                        held, digests = [], []
+        if digests:
+            yield batch_of()
 
     return find
 
@@ -321,9 +350,19 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     often = runs.groupBy("anchor").count().where("count > 1").select("anchor")
     live = stage(runs.join(often, "anchor"), "suffix-live")
     unstage(runs)
-    # equal stretches are sorted once, with their number
-    different = live.groupBy("anchor", "stretch").agg(F.min(F.struct("d1", "d2", "first", "n", "at")).alias("r"), F.count(F.lit(1)).alias("m"))
-    different = stage(different.select("anchor", "stretch", "r.*", "m"), "suffix-stretches")
+    # equal stretches are kept once, with their number
+    different = live.groupBy("anchor", "stretch").agg(
+        F.min(F.struct("d1", "d2", "first", "n", "at", "right", "left")).alias("r"), F.count(F.lit(1)).alias("m")
+    )
+    every = stage(different.select("anchor", "stretch", "r.*", "m"), "suffix-stretches")
+    # a stretch that shares no flank with a different one holds repeated strings only if it occurs again itself
+    flanks = every.select("stretch", F.explode(F.array("right", "left")).alias("flank")).where("flank <> 0")
+    shared = flanks.groupBy("flank").count().where("count > 1").select("flank")
+    met = stage(flanks.join(shared, "flank").select("stretch").distinct(), "suffix-met")
+    settled = every.where("m > 1").join(met, "stretch", "left_anti").select("stretch", F.lit(0).cast("long").alias("lo"), (F.col("n") - 1).alias("hi"))
+    settled = stage(settled, "suffix-settled")
+    different = stage(every.join(met, "stretch", "left_semi"), "suffix-different")
+    unstage(every, met)
     crowded = different.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     body = F.substring(F.col("text").cast("binary"), F.col("first").cast("int") + 1, (F.col("n") + length - 1).cast("int"))
     bodies = stage(
@@ -368,8 +407,8 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     found = stage(cool.unionByName(single).groupBy("shard").applyInPandas(search, out), "suffix-found")
     starts = warm.join(found.select(F.col("stretch").alias("body")), "body").select("stretch", "lo", F.col("lo").alias("hi"))
     whole = found.where(F.octet_length("stretch") == 16) if length != 16 else found
-    ranges = stage(whole.unionByName(starts), "suffix-ranges")
-    unstage(bodies, warm, found)
+    ranges = stage(whole.unionByName(starts).unionByName(settled), "suffix-ranges")
+    unstage(bodies, warm, found, settled)
     gone = live.select("d1", "d2", "first", "stretch").join(ranges, "stretch").select(
         "d1", "d2", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length).alias("hi")
     )
