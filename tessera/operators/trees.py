@@ -34,7 +34,7 @@ def diff(base: DataFrame, target: DataFrame, moves: bool = True) -> DataFrame:
     """Changes from ``base`` to ``target``: action (Add, Delete, Keep, Move), path, from_path, context, base_hash, hash.
 
     Unchanged files give no row. With ``moves``, deleted and added files of equal context become a move, first
-    with first in path order.
+    with first in path order; a null or zero context names no file, so it joins none.
     """
     b = base.select("path", F.col("context").alias("b_context"), F.col("hash").alias("base_hash"), F.lit(True).alias("in_b"))
     t = target.select("path", F.col("context").alias("t_context"), "hash", F.lit(True).alias("in_t"))
@@ -50,12 +50,17 @@ def diff(base: DataFrame, target: DataFrame, moves: bool = True) -> DataFrame:
             "hash",
         )
     )
-    if not moves:
-        return changed
+    return pair_moves(changed) if moves else changed
+
+
+def pair_moves(changed: DataFrame) -> DataFrame:
+    """Changes with deleted and added files of equal context joined into moves."""
+    named = F.coalesce(~F.col("context").cast("string").rlike("^0*$"), F.lit(False))
+    may_move = named & F.col("action").isin("Add", "Delete")
     turn = F.row_number().over(Window.partitionBy("context", "action").orderBy("path"))
-    ranked = changed.withColumn("turn", F.when(F.col("action") != "Keep", turn))
+    ranked = changed.where(may_move).withColumn("turn", turn)
     # a key is one context and turn, so two rows at most meet in a group
-    paired = ranked.where("turn is not null").groupBy("context", "turn").agg(
+    paired = ranked.groupBy("context", "turn").agg(
         F.max(F.when(F.col("action") == "Add", F.col("path"))).alias("added"),
         F.max(F.when(F.col("action") == "Delete", F.col("path"))).alias("deleted"),
         F.max("base_hash").alias("base_hash"),
@@ -69,15 +74,53 @@ def diff(base: DataFrame, target: DataFrame, moves: bool = True) -> DataFrame:
         "base_hash",
         "hash",
     )
-    return moved.unionByName(ranked.where("turn is null").drop("turn"))
+    return moved.unionByName(changed.where(~may_move))
+
+
+def node_diff(base: DataFrame, target: DataFrame, under: str = "") -> DataFrame:
+    """Changes between trees of nodes (path, kind, mode, context, hash), paths being compared without case.
+
+    Files that differ in address or mode are kept files with a change; a name that differs in case only is a
+    move; directories are shown where their mode or the case of their name differs; a file where a directory was,
+    or the reverse, is deleted and added. ``under`` keeps a subtree. Columns: action, path, from_path, kind, base_hash, hash.
+    """
+    side = lambda df, n: df.where(below(F.col("path"), under) if under else F.lit(True)).select(
+        F.lower("path").alias("key"), F.struct("path", "kind", "mode", "context", "hash").alias(n)
+    )
+    both = side(base, "b").join(side(target, "t"), "key", "full")
+    was_file, is_file = F.col("b.kind") == "file", F.col("t.kind") == "file"
+    renamed = F.col("b.path") != F.col("t.path")
+    differs = ~F.col("b.hash").eqNullSafe(F.col("t.hash")) | ~F.col("b.context").eqNullSafe(F.col("t.context"))
+    other_mode = ~F.col("b.mode").eqNullSafe(F.col("t.mode"))
+    row = lambda action, to: F.struct(
+        F.lit(action).alias("action"),
+        (F.col("b.path") if action == "Delete" else F.col("t.path")).alias("path"),
+        (F.col("t.path") if action == "Add" else F.col("b.path")).alias("from_path"),
+        F.col(f"{to}.kind").alias("kind"),
+        (F.lit(None).cast("string") if action == "Add" else F.col("b.hash")).alias("base_hash"),
+        (F.lit(None).cast("string") if action == "Delete" else F.col("t.hash")).alias("hash"),
+    )
+    shown = F.when(was_file & is_file, differs | other_mode | renamed).otherwise(other_mode | renamed)
+    rows = (
+        F.when(F.col("b").isNull(), F.array(row("Add", "t")))
+        .when(F.col("t").isNull(), F.array(row("Delete", "b")))
+        .when(was_file != is_file, F.array(row("Delete", "b"), row("Add", "t")))
+        .when(shown & renamed, F.array(row("Move", "t")))
+        .when(shown, F.array(row("Keep", "t")))
+    )
+    return both.select(F.inline(rows))
 
 
-def diff3(base: DataFrame, source: DataFrame, target: DataFrame, scope: str = "source") -> DataFrame:
+def below(path: Column, top: str) -> Column:
+    return (path == top) | F.startswith(path, F.lit(f"{top}/"))
+
+def diff3(base: DataFrame, source: DataFrame, target: DataFrame, scope: str = "source", include_same: bool = True) -> DataFrame:
     """Outcome of every source change against the target: change, conflict or same.
 
     Source changes are joined into moves, target changes are not. A move whose old path the target deleted is a
     conflict; a pure rename takes up the target's modification; both deleting a file is the same change; else files
-    conflict where their contents differ. Scope ``full`` adds the changes that only the target made (``target``).
+    conflict where their contents differ. Scope ``full`` adds the changes that only the target made (``target``);
+    without ``include_same`` changes that both made alike are left out.
     """
     s, t = diff(base, source), diff(base, target, moves=False)
     old = t.select(F.col("path").alias("from_path"), F.col("action").alias("old_action"), F.col("hash").alias("old_hash"))
@@ -93,6 +136,8 @@ def diff3(base: DataFrame, source: DataFrame, target: DataFrame, scope: str = "s
         .otherwise("conflict")
     )
     out = met.select("action", "path", "from_path", "hash", F.col("old_action").alias("target_action"), outcome.alias("outcome"))
+    if not include_same:
+        out = out.where("outcome <> 'same'")
     if scope == "source":
         return out
     alone = t.join(s.select("from_path"), t["path"] == s["from_path"], "left_anti")
@@ -131,29 +176,3 @@ def rollup(tree: DataFrame) -> DataFrame:
 def collisions(names: DataFrame, name: str) -> DataFrame:
     """Names that differ by case only, or not at all: the folded name and how many rows have it."""
     return names.groupBy(F.lower(name).alias("folded")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
-def glob_pattern(glob: str) -> str:
-    """The regular expression of a glob, matched against a whole lower-cased path."""
-    out, i = "", 0
-    while i < len(glob):
-        if glob.startswith("**/", i):
-            out, i = out + "(.*/)?", i + 3
-        elif glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-        else:
-            out, i = out + {"*": "[^/]*", "?": "[^/]", ".": "[.]"}.get(glob[i], glob[i]), i + 1
-    return f"^{out.lower()}$"
-
-
-def included(path: Column, rules: list[tuple[str, bool]]) -> Column:
-    """Whether ordered rules (glob, keep) let a path in: the last match wins, and a path is out where any
-    directory above it is out."""
-
-    def state(p: Column) -> Column:
-        out = F.lit(True)
-        for glob, keep in rules:
-            out = F.when(F.lower(p).rlike(glob_pattern(glob)), F.lit(keep)).otherwise(out)
-        return out
-
-    return F.forall(F.concat(ancestors(path), F.array(path)), state)

@@ -9,15 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import content, history, trees
+from tessera.functions import values
+from tessera.operators import content, filters, history, trees
 from tessera.sources.versioned import CHAINS_SQL, chains, document_tree, ensure_checkpoints, snapshot, snapshot_sql, table
 from tessera.streaming import notifications
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Rules of the filter query, in order; the last match wins.
-RULES = [("de/**", False), ("**/*7", False), ("**/177", True)]
+#: Rules of the filter query, in order; the last match that changes something wins.
+RULES = ["# by language and name", "/de", "!de/src1/*", "*7", "!en/src0/177"]
 
 
 def _query(sql: str | None = None):
@@ -145,13 +146,33 @@ def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.collisions(table(spark, sf_dir, "part"), "p_name")
 
 
-def _fold(p: str) -> str:
-    return f"case when {p} = '177' or {p} like '%/177' then true when {p} like '%7' then false when {p} like 'de/%' then false else true end"
+_ADMITS = """tree_rules as (select *, case when d2 = 'en/src0' then false when lower(d2) like '%7' then true else d1 = 'de' and d2 <> 'de/src1' end as dir_out,
+  case when path = 'en/src0/177' then false when path like '%7' then true else d1 = 'de' and d2 <> 'de/src1' end as file_out from tree)"""
 
 
-@_query(f"""with {_TREE} select path, {_fold("lower(d1)")} and {_fold("lower(d2)")} and {_fold("lower(path)")} as included from tree""")
+@_query(f"with {_TREE}, {_ADMITS} select path, not dir_out and not file_out as included from tree_rules")
 def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_tree(spark, sf_dir).select("path", trees.included(F.col("path"), RULES).alias("included"))
+    return document_tree(spark, sf_dir).select("path", filters.admits(F.col("path"), filters.parse(RULES)).alias("included"))
+
+
+@_query(f"""with {_TREE}, {_ADMITS}, m as (select path, (select not (dir_out or file_out) from tree_rules r where r.path = tree.path) as seen, d2 <> 'fr/src2' as viewed from tree)
+  select path, seen, viewed, seen and viewed as whole from m""")
+def filter_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the ignore rules, by the view rules, by both."""
+    ignore, view, p = filters.parse(RULES), filters.parse(["/fr/src2/**", "fr/src2"]), F.col("path")
+    by = lambda mode: filters.admits_by_mode(p, ignore, view, mode)
+    return document_tree(spark, sf_dir).select("path", by(filters.IGNORE).alias("seen"), by(filters.VIEW).alias("viewed"), by(filters.FULL).alias("whole"))
+
+
+@_query(f"""with {_TREE}, {_ADMITS} select path, case when dir_out or file_out then 0 else 1 end as reason from tree_rules where dir_out or file_out or d2 = 'fr/src2'""")
+def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.reasons(document_tree(spark, sf_dir), filters.parse(RULES), filters.parse(["/fr/src2/**", "fr/src2"]))
+
+
+@_query(f"with {_TREE} select distinct d2 as dir, d1 = 'de' or d2 = 'en/src1' as proven from tree")
+def subtree_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirs = document_tree(spark, sf_dir).select(values.parent(F.col("path")).alias("dir")).distinct()
+    return dirs.select("dir", filters.excludes_subtree(F.col("dir"), filters.parse(["/de", "en/src1/**", "*.tmp"])).alias("proven"))
 
 
 # ---------------------------------------------------------------- history
