@@ -25,18 +25,19 @@ from .common import small_batches, stage, table, unstage
 
 BACKOFF = 0.4
 #: Words, or pairs, that make up this share of all are at most 1 / FREQUENT many, so their counts are broadcast.
-FREQUENT = 1e-5
+FREQUENT = 2e-6
 #: The hash space of pairs is worked through in so many slices; the rows on disk at once are that part of
 #: all rows, which are as many as there are words, so disk is in a fixed proportion to the input.
-SLICES = 5
-#: Bytes that are hashed at a time.
-PIECE = 1 << 20
+SLICES = 4
 _START = 0  # stands before the first word of every document
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The first so many bytes of eight.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,44 +46,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A random number for each byte, capitals taking that of their small letter.
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_BYTE[65:91] = _BYTE[97:123]
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    key = str(base)
-    if len(_powers.get(key, ())) < n:
-        _powers[key] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))), dtype=np.uint64)
-    return _powers[key][:n]
-
-
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, index of its text), words being parted by ASCII white space, without case."""
     raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raws])
     buffer = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
-    space = _SPACE[buffer]
-    hashes, at, lo = [], [], 0
-    while lo < len(buffer):
-        hi = min(len(buffer), lo + PIECE)
-        while hi < len(buffer) and not space[hi - 1]:  # up to the end of a word
-            more = space[hi : hi + PIECE]
-            hi += int(more.argmax()) + 1 if more.any() else len(more)
-        part, gap = buffer[lo:hi], space[lo:hi]
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[part] * _power(_ODD, len(part)), dtype=np.uint64)))
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
-        begin, end = edge[::2], edge[1::2]
-        h = (sums[end] - sums[begin]) * _power(_INVERSE, len(part) + 1)[begin]
-        hashes.append(_mix(h + (end - begin).astype(np.uint64) * _ODD))
-        at.append(begin + lo)
-        lo = hi
-    if not hashes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.concatenate(hashes).view(np.int64)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buffer], [True])).view(np.int8)))
+    begin, size = edge[::2], edge[1::2] - edge[::2]
+    padded = np.concatenate((_LOWER[buffer], np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(buffer) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    h = _mix((eight[begin] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD)
+    longer, at = np.flatnonzero(size > 8), 8
+    while len(longer):
+        more = eight[begin[longer] + at] & _MASK[np.minimum(size[longer] - at, 8)]
+        h[longer] = _mix(h[longer] * _ODD + more)
+        at += 8
+        longer = longer[size[longer] > at]
+    h = h.view(np.int64)
     h[h == _START] = 1
-    return h, np.searchsorted(ends, np.concatenate(at), "right")
+    return h, np.searchsorted(ends, begin, "right")
 
 
 def _pair(p: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -189,8 +171,10 @@ def _broadcast_table(spark: SparkSession, *frames: DataFrame):
     """Sorted keys and counts of frames of at most 1 / FREQUENT rows each."""
     out = []
     for frame in frames:
-        rows = np.array(sorted(map(tuple, frame.collect())), np.int64).reshape(-1, 2)
-        out += [np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1])]
+        rows = frame.toArrow()
+        keys, counts = (rows.column(i).to_numpy() for i in (0, 1))
+        order = np.argsort(keys)
+        out += [keys[order], counts[order]]
     return spark.sparkContext.broadcast(tuple(out))
 
 
@@ -205,11 +189,14 @@ def scores(docs: DataFrame, backoff: float = BACKOFF, slices: int = SLICES, freq
     that pair occurs elsewhere, else ``backoff`` * max(c(w), 1) / N. Words are parted by ASCII white
     space and compared without case (ASCII), by 64-bit hashes: two words that share one count as one. Null
     and empty texts have no words and score 0; repeated rows are documents of their own and score alike; an
-    empty table gives no rows; extra columns are ignored. A very long text is hashed piece by piece.
+    empty table gives no rows; extra columns are ignored. A very long text is one row of a small batch.
     """
     spark = docs.sparkSession
     small_batches(spark, 2000)
-    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    # a hash of the text stands beside ids only where some repeat
+    again = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    tie = F.lit(0).cast("long") if again.isEmpty() else F.xxhash64("text")
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", tie.alias("th"), "text")
     texts = keyed.select("text")
     unigrams = stage(texts.mapInArrow(_count_words, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
     total = unigrams.where(F.col("w") != _START).agg(F.sum("c")).first()[0] or 0
