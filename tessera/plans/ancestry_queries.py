@@ -136,8 +136,8 @@ def step_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
   select r.start, r."end", r.steps, t.revision as target, r.steps <= 1 as done from r join line t on t.tip = r."end" and t.depth = r.steps // 2""")
 def bisect_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rev, line = _line(spark, sf_dir)
-    starts = spark.range(1, 4).select(F.col("id").alias("start"))
-    return ancestry.bisect(line, rev.select(F.col("revision").alias("end")).crossJoin(F.broadcast(starts)))
+    starts = F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)]))
+    return ancestry.bisect(line, rev.select(F.col("revision").alias("end"), starts.alias("start")))
 
 
 @_query(f"""{_LINE}, s as (select l.tip, min(case when l.revision % 7 = 0 then l.depth end) as hit, min(case when l.revision % 7 <> 0 and l.revision < 20 then l.depth end) as stop,
