@@ -60,12 +60,45 @@ def targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", "n", share.alias("target"))
 
 
+def _settle(copies: list, whole: list, size: list, free: list[bool], lacking: float) -> None:
+    """Turn rounded rows over, largest first (rows come by size), while that brings ``lacking`` words nearer to none.
+    Where no row on the needed side is small enough, the smallest one there is turned first, if that helps."""
+
+    def fits(x: int, way: int) -> bool:
+        return free[x] and copies[x] == whole[x] + (way < 0)
+
+    def fill(left: float) -> tuple[float, list[tuple[int, int]]]:
+        turned = []
+        for x in range(len(size) - 1, -1, -1):
+            way = 1 if left > 0 else -1
+            if fits(x, way) and size[x] < 2 * abs(left):
+                copies[x] += way
+                left -= way * size[x]
+                turned.append((x, way))
+        return left, turned
+
+    lacking, _ = fill(lacking)
+    way = 1 if lacking > 0 else -1
+    first = next((x for x in range(len(size)) if fits(x, way)), None)
+    if first is not None and abs(lacking) > 1:
+        copies[first] += way
+        left, turned = fill(lacking - way * size[first])
+        if abs(left) >= abs(lacking):
+            for x, w in [*turned, (first, way)]:
+                copies[x] -= w
+
+
 def _round(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pivotal rounding of one group of one source; at most one row is left undecided, none at the top."""
+    """Pivotal rounding of one group of one source; at most one row is left undecided, none at the top.
+
+    At the top the last row is rounded by its probability; the words that this adds or lacks are made up for by
+    the other rows that were rounded, so that what is left over is less than a small document.
+    """
     rows = rows.sort_values(["size", "doc_id", "part"], kind="stable").reset_index(drop=True)
     rng = random.Random(repr(tuple(None if pd.isna(k) else k for k in key)))
     size, whole, p = rows["size"].tolist(), rows["whole"].tolist(), rows["p"].tolist()
     copies: list[int | None] = [None] * len(rows)
+    open_rows = [_EPS < x < 1 - _EPS and n > 0 for x, n in zip(p, size, strict=True)]
     held = None
     for j in range(len(rows)):
         if size[j] <= 0 or p[j] <= _EPS or p[j] >= 1 - _EPS:
@@ -88,6 +121,7 @@ def _round(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
                 held = x
     if held is not None and rows["nodes"].iloc[0] <= 1:
         copies[held] = whole[held] + (rng.random() < p[held])
+        _settle(copies, whole, size, [x and i != held for i, x in enumerate(open_rows)], (whole[held] + p[held] - copies[held]) * size[held])
     return rows.assign(p=p, copies=pd.array(copies, dtype="Int32"))
 
 
