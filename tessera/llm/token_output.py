@@ -2,8 +2,8 @@
 
 Documents are encoded with a given vocabulary and concatenated, an end token after each; the stream is
 cut into sequences of equal length; a keyed Feistel permutation (walked until it stays inside the
-range) gives every sequence a global slot; slots are dealt by range to shards of fixed-stride records,
-so slot s is at byte ``(s % per_shard) * stride`` of shard ``s // per_shard``.
+range) gives every sequence a global slot; slots are dealt to tasks by ranges of shards, in order, each shard
+being a run of slots with records of fixed stride, so slot s is at byte ``(s % per_shard) * stride`` of shard ``s // per_shard``.
 """
 
 from __future__ import annotations
@@ -99,7 +99,8 @@ def materialise(
     Sequences are numbered in the order in which Spark reads the documents; the encoded stream is
     staged once, so every later step, re-run or not, sees the same. The last sequence is filled up
     with end tokens. Null and empty texts are one end token each; repeated documents are repeated;
-    an empty table gives no sequences; extra columns are ignored. No task holds more than a shard.
+    an empty table gives no sequences; extra columns are ignored. Rows come in ranges of whole shards, by slot
+    within each task; a very long text is spread over as many sequences as it fills.
     """
     stream = stage(tokens(docs, vocabulary), "token-stream")
     ends = sorted(map(tuple, stream.groupBy("part").agg(F.max(F.col("start") + F.col("n"))).collect()))
@@ -130,7 +131,7 @@ def materialise(
     stride = 2 * sequence
     filler = np.array([END], "<u2").tobytes()
     joined = (
-        pieces.repartition("shard")
+        pieces.repartitionByRange("shard")
         .groupBy("shard", "slot", "seq")
         .agg(F.array_sort(F.collect_list(F.struct("into", "doc_id", "piece"))).alias("p"))
         .select(
@@ -142,7 +143,7 @@ def materialise(
             F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["piece"])).alias("ids"),
         )
     )
-    return joined.select(
+    return joined.sortWithinPartitions("slot").select(
         "slot", "shard", "byte_offset", "seq", (F.octet_length("ids") / 2).cast("int").alias("n_tokens"), "doc_ids", F.rpad("ids", F.lit(stride), F.lit(filler)).alias("ids")
     )
 
@@ -172,7 +173,7 @@ def write_shards(sequences: DataFrame, folder: str) -> DataFrame:
         close()
         yield pd.DataFrame(done, columns=["shard", "n_bytes"])
 
-    return sequences.repartition("shard").sortWithinPartitions("shard", "slot").select("shard", "ids").mapInPandas(write, "shard int, n_bytes bigint")
+    return sequences.repartitionByRange("shard").sortWithinPartitions("shard", "slot").select("shard", "ids").mapInPandas(write, "shard int, n_bytes bigint")
 
 
 def read_sequence(folder: str, slot: int, sequence: int = SEQUENCE, per_shard: int = SEQUENCES_A_SHARD) -> np.ndarray:
