@@ -188,6 +188,23 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, **options) ->
     return found.where(~is_contaminated("__found.n_words", "__found.n_hit")).select(*docs.columns)
 
 
+# Every window of every item against every place of every document, by equal strings.
+ORACLE_SQL = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+sized as (select item, ws, least(13, len(ws)) as m from b where len(ws) > 0),
+windows as (select distinct item, m, array_to_string(ws[i:i + m - 1], ' ') as k from (select item, ws, m, unnest(range(1, len(ws) - m + 2)) as i from sized)),
+lengths as (select distinct m from sized),
+places as (select r, m, i, array_to_string(ws[i:i + m - 1], ' ') as k from (select r, ws, m, unnest(range(1, len(ws) - m + 2)) as i from d, lengths where len(ws) >= m)),
+hits as (select p.r, p.i, p.m, w.item from places p join windows w on w.m = p.m and w.k = p.k),
+words as (select r, count(distinct pos) as n from (select r, unnest(range(i, i + m)) as pos from (select distinct r, i, m from hits)) group by r),
+items as (select r, list_sort(list(distinct item)) as found from hits group by r)
+select d.doc_id, len(d.ws)::bigint as n_words, coalesce(w.n, 0)::bigint as n_hit, coalesce(len(i.found), 0)::bigint as n_items,
+  sha256(coalesce(array_to_string(i.found, ','), '')) as items_sha256, coalesce(w.n, 0) > 0 and 20 * coalesce(w.n, 0) >= len(d.ws) as contaminated
+from d left join words w on w.r = d.r left join items i on i.r = d.r
+"""
+
+
 def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract columns of benchmark decontamination over all documents."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

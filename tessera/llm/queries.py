@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm_scoring
+from . import decontaminate, licenses, lm_scoring
 from .decontaminate import op10_winnowing_decontamination
 from .fingerprint import op6_multiset_fingerprints
 from .licenses import op9_license_set_join
@@ -32,4 +32,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_stupid_backoff_scores": lm_scoring.ORACLE_SQL,
+    "op9_license_set_join": licenses.ORACLE_SQL,
+    "op10_winnowing_decontamination": decontaminate.ORACLE_SQL,
 }
