@@ -1,14 +1,16 @@
 """SimHash near-duplicates: exact comparison of fingerprints in tiles.
 
 Fingerprints within a small radius agree on at least one of radius + 1 bit blocks, so they are dealt by
-block value; within each such bucket they are ordered by population count, cut into tiles, and tiles
-whose counts lie within the radius are compared by exclusive-or and bit count. A tile pair returns a
-spanning forest of its links, never all pairs, so a group of n copies costs about n rows.
+block value. A crowded bucket is cut into tiles by bands of population counts, a band as wide as the radius
+(a band with too many prints into several tiles); only tiles of one band or of neighbouring ones are brought
+together, all others differ beyond the radius by their counts alone, and compared by exclusive-or and bit
+count. A tile pair returns a spanning forest of its links, never all pairs, so a group of n copies costs
+about n rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,8 @@ from .common import small_batches, stage, table, unstage
 TILE = 4096
 #: Fingerprints a task group gathers from many small buckets.
 GROUP = 50_000
+#: Crowded buckets up to which their table is broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 20_000
 #: Bytes of shingle hashes in a tile; a task compares two tiles.
 SET_BYTES = 16 << 20
 #: Least similarity of near copies, as a fraction.
@@ -91,13 +95,14 @@ def _prints(text: Column, words: int, lanes: int) -> Column:
     return of(text)
 
 
-def _forest(fp: np.ndarray, left: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between rows of ``fp`` (rows, lanes); where two tiles
+def _forest(fp: np.ndarray, left: np.ndarray, radius: int, two: bool) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links between rows of ``fp`` (rows, lanes); where ``two`` tiles
     meet (``left`` marks the rows of one), only links across them count. Rows come by population count."""
     pops = np.bitwise_count(fp).sum(axis=1).astype(np.int64)
     order = np.argsort(pops, kind="stable")
     fp, pops, left = fp[order], pops[order], left[order]
-    two = left.any() and not left.all()
+    if two and left.all() == left.any():
+        return []
     lo, hi = np.searchsorted(pops, pops - radius, "left"), np.searchsorted(pops, pops + radius, "right")
     free = np.ones(len(fp), bool)
     edges = []
@@ -128,7 +133,8 @@ def links(prints: DataFrame, radius: int, blocks: int | None = None) -> DataFram
     meet where some block is equal.
     """
     blocks = blocks or radius + 1
-    n = prints.count()
+    n, width = prints.agg(F.count(F.lit(1)), F.max(F.length("fp"))).first()
+    width = width or 8
     groups = max(1, -(-n * blocks // GROUP))
 
     @F.pandas_udf("array<long>")
@@ -148,30 +154,37 @@ def links(prints: DataFrame, radius: int, blocks: int | None = None) -> DataFram
     dealt = stage(
         prints.select("node", "fp", F.posexplode(block_values("fp")).alias("block", "value")), "simhash-blocks"
     )
-    crowded = dealt.groupBy("block", "value").count().where(F.col("count") > TILE)
-    if blocks <= radius:  # wide blocks make many rows, of which the join should move none
-        crowded = F.broadcast(crowded)
-    joined = dealt.join(crowded, ["block", "value"], "left")
-    # a crowded bucket is cut into tiles, and each pair of tiles meets in a group of its own
-    parts = F.ceil(F.col("count") / TILE).cast("int")
-    tile = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    alone = joined.where("count is null").select(
-        "node", "fp", F.pmod(F.xxhash64("block", "value"), F.lit(groups)).alias("g"), F.lit(-1).alias("x"), F.lit(-1).alias("y"), "block", "value", F.lit(True).alias("left")
+    crowded = dealt.groupBy("block", "value").count().where(F.col("count") > TILE).select("block", "value")
+    few = n * blocks // TILE <= MOST_BROADCAST  # no more buckets than that can be crowded
+    crowded = F.broadcast(crowded) if few else crowded
+    joined = dealt.join(crowded.withColumn("crowded", F.lit(True)), ["block", "value"], "left")
+    alone = joined.where("crowded is null").select(
+        "node", "fp", F.pmod(F.xxhash64("block", "value"), F.lit(groups)).alias("g"), F.lit("").alias("x"), F.lit("").alias("y"), "block", "value", F.lit(True).alias("left")
     )
-    paired = (
-        joined.where("count is not null")
-        .select("*", tile.alias("t"))
-        .select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
-        .select("node", "fp", F.xxhash64("block", "value").alias("g"), F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "block", "value", (F.col("t") <= F.col("o")).alias("left"))
+    # tiles of a band: so many that each holds about TILE prints
+    lanes = [F.conv(F.hex(F.substring("fp", 1 + 8 * i, 8)), 16, -10).cast("long") for i in range(width // 8)]
+    pop = reduce(lambda x, y: x + y, [F.bit_count(lane) for lane in lanes])
+    banded = joined.where("crowded").select("node", "fp", "block", "value", F.floor(pop / max(radius, 1)).alias("band"))
+    parts = banded.groupBy("block", "value", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
+    near = parts.select("block", "value", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("other"), F.col("parts").alias("others"))
+    meets = near.groupBy("block", "value", "band").agg(F.collect_list(F.struct("other", "others")).alias("near"))  # three at most
+    placed = banded.join(F.broadcast(parts) if few else parts, ["block", "value", "band"]).join(meets, ["block", "value", "band"])
+    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    placed = placed.select("*", mine.alias("t"), F.explode("near").alias("m")).select("*", F.explode(F.sequence(F.lit(0), F.col("m.others") - 1)).alias("o"))
+    here, there = F.struct("band", "t"), F.struct(F.col("m.other").alias("band"), F.col("o").alias("t"))
+    name = lambda tile: F.concat_ws(".", tile["band"], tile["t"])
+    paired = placed.select(
+        "node", "fp", F.xxhash64("block", "value").alias("g"), name(F.least(here, there)).alias("x"), name(F.greatest(here, there)).alias("y"), "block", "value", (here <= there).alias("left")
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
+        two = rows["x"].iloc[0] != rows["y"].iloc[0]
         for _, b in rows.groupby(["block", "value"], sort=False):
             if len(b) > 1:
                 fp = np.frombuffer(b"".join(b["fp"]), ">u8").reshape(len(b), -1).astype(np.uint64)
                 node = b["node"].to_numpy()
-                found += [(node[i], node[j]) for i, j in _forest(fp, b["left"].to_numpy(), radius)]
+                found += [(node[i], node[j]) for i, j in _forest(fp, b["left"].to_numpy(), radius, two)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return alone.unionByName(paired).groupBy("g", "x", "y").applyInPandas(compare, "a bigint, b bigint").distinct()
@@ -252,7 +265,8 @@ def alike(sets: DataFrame, radius: int) -> DataFrame:
     need = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum(F.length("sh")) / SET_BYTES)).cast("int")
     crowded = sets.groupBy("root").agg(need.alias("parts")).where("parts > 1")
     tile = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = sets.join(F.broadcast(crowded), "root", "left").select("*", tile.alias("t"))
+    few = total[0] // TILE + (total[1] or 0) // SET_BYTES <= MOST_BROADCAST  # no more groups can be crowded
+    dealt = sets.join(F.broadcast(crowded) if few else crowded, "root", "left").select("*", tile.alias("t"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("o"))
     rows = dealt.select(
         "node", "root", "fp", "sh",
