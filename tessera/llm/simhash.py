@@ -26,6 +26,8 @@ TILE = 4096
 GROUP = 50_000
 #: Crowded buckets up to which their table is broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 20_000
+#: Bytes kept of each shingle hash of a set.
+HASH_BYTES = 6
 #: Bytes of shingle hashes in a tile; a task compares two tiles.
 SET_BYTES = 16 << 20
 #: Least similarity of near copies, as a fraction.
@@ -81,20 +83,28 @@ def fingerprint(text: Column, words: int = 4, lanes: int = 1, distinct: bool = F
 
 
 def _prints(text: Column, words: int, lanes: int) -> Column:
-    """Struct of fp (SimHash over distinct shingles), sh (their sorted hashes) and sid (128 bits of sh)."""
+    """Struct of fp (SimHash over distinct shingles), sh (their sorted hashes, 48 bits each) and sid (128 bits of the
+    whole ones)."""
 
     @F.pandas_udf("fp binary, sh binary, sid binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             hashes = np.unique(_shingles(t, words))
-            sh = hashes.astype(">u8").tobytes()
-            rows.append((_majority(hashes, lanes), sh, xxhash.xxh3_128_digest(sh)))
+            whole = hashes.astype(">u8")
+            sh = np.unique(hashes >> np.uint64(64 - 8 * HASH_BYTES)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :]
+            rows.append((_majority(hashes, lanes), sh.tobytes(), xxhash.xxh3_128_digest(whole.tobytes())))
         return pd.DataFrame(rows, columns=["fp", "sh", "sid"])
 
     return of(text)
 
 
+def _set(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // HASH_BYTES, 8), np.uint8)
+    out[:, 8 - HASH_BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
+    return out.reshape(-1).view(">u8").astype(np.uint64)
+
+
 def _forest(fp: np.ndarray, left: np.ndarray, radius: int, two: bool) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between rows of ``fp`` (rows, lanes); where ``two`` tiles
     meet (``left`` marks the rows of one), only links across them count. Rows come by population count."""
@@ -124,8 +134,22 @@ def _forest(fp: np.ndarray, left: np.ndarray, radius: int, two: bool) -> list[tu
     return edges
 
 
+def _stars(node: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Edges between the same rows' nodes, each tree of a forest as a star around its smallest node: trees of one
+    group that several buckets hold then have most edges in common."""
+    root = np.arange(len(node))
+    for i, j in edges:  # a tree's edges come from its root outwards
+        root[j] = root[i]
+    least: dict[int, int] = {}
+    for _, j in edges:
+        r = int(root[j])
+        least[r] = min(least.get(r, int(node[r])), int(node[j]))
+    out = [(least[int(root[j])], int(node[j])) for _, j in edges] + [(low, int(node[r])) for r, low in least.items()]
+    return [(a, b) for a, b in out if a != b]
+
+
 def links(prints: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect every pair of fingerprints within ``radius`` bits.
+    """Edges (a, b), staged, that connect every pair of fingerprints within ``radius`` bits.
 
     ``prints`` has one row per distinct fingerprint: node (long), fp (binary of 8 bytes a lane). Every
     link is compared exactly in some bucket; edges form a forest in each, with the same components.
@@ -184,10 +208,12 @@ def links(prints: DataFrame, radius: int, blocks: int | None = None) -> DataFram
             if len(b) > 1:
                 fp = np.frombuffer(b"".join(b["fp"]), ">u8").reshape(len(b), -1).astype(np.uint64)
                 node = b["node"].to_numpy()
-                found += [(node[i], node[j]) for i, j in _forest(fp, b["left"].to_numpy(), radius, two)]
+                found += _stars(node, _forest(fp, b["left"].to_numpy(), radius, two))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return alone.unionByName(paired).groupBy("g", "x", "y").applyInPandas(compare, "a bigint, b bigint").distinct()
+    edges = stage(alone.unionByName(paired).groupBy("g", "x", "y").applyInPandas(compare, "a bigint, b bigint").distinct(), "simhash-edges")
+    unstage(dealt)
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,6 +225,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     e = stage(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct(), "edges")
+    unstage(edges)
 
     def mark(frame: DataFrame) -> tuple:
         return tuple(frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first())
@@ -256,8 +283,8 @@ def _alike_forest(fp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, radi
 def alike(sets: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b) between sets of one candidate group at exact Jaccard similarity ``SHARE`` or more.
 
-    ``sets`` is staged and has one row per distinct set: node, root (the group), fp, sh (sorted hashes of 8
-    bytes). Small groups share a task; a group beyond ``SET_BYTES`` or ``TILE`` rows is cut into tiles, each
+    ``sets`` is staged and has one row per distinct set: node, root (the group), fp, sh (sorted hashes of
+    HASH_BYTES). Small groups share a task; a group beyond ``SET_BYTES`` or ``TILE`` rows is cut into tiles, each
     pair of which returns a forest.
     """
     total = sets.agg(F.count(F.lit(1)), F.sum(F.length("sh"))).first()
@@ -281,9 +308,9 @@ def alike(sets: DataFrame, radius: int) -> DataFrame:
         for _, b in frame.groupby("root", sort=False):
             if len(b) > 1:
                 fp = np.frombuffer(b"".join(b["fp"]), ">u8").reshape(len(b), -1).astype(np.uint64)
-                held = [np.frombuffer(s, ">u8").astype(np.uint64) for s in b["sh"]]
+                held = [_set(s) for s in b["sh"]]
                 node = b["node"].to_numpy()
-                found += [(node[i], node[j]) for i, j in _alike_forest(fp, held, b["left"].to_numpy(), radius)]
+                found += _stars(node, _alike_forest(fp, held, b["left"].to_numpy(), radius))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("g", "x", "y").applyInPandas(compare, "a bigint, b bigint").distinct()
@@ -326,7 +353,7 @@ def keep_one(docs: DataFrame, words: int = 5, lanes: int = 8, radius: int = 136,
     small_batches(docs.sparkSession)
     row = [F.xxhash64(*docs.columns).alias("__h1"), F.xxhash64(F.lit(1), *docs.columns).alias("__h2")]
     marked = stage(docs.select("doc_id", *row, _prints(F.col("text"), words, lanes).alias("p")).select("doc_id", "__h1", "__h2", "p.*"), "keep-prints")
-    large = marked.where(F.length("sh") >= 8 * SHARE[0])
+    large = marked.where(F.length("sh") >= HASH_BYTES * SHARE[0])
     ids = large.select("sid", "fp").distinct()
     distinct = stage(ids.groupBy("fp").agg((F.count(F.lit(1)) > 1).alias("several")).select("*", F.xxhash64("fp").alias("node")), "simhash-distinct")
     near = stage(components(links(distinct, radius, blocks)), "simhash-roots")
@@ -337,7 +364,9 @@ def keep_one(docs: DataFrame, words: int = 5, lanes: int = 8, radius: int = 136,
         .select(F.xxhash64("sid").alias("node"), "root", "fp", "sh"),
         "simhash-sets",
     )
-    roots = components(alike(sets, radius))
+    unstage(distinct, near)
+    roots = stage(components(alike(sets, radius)), "simhash-roots")
+    unstage(sets)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h1", "__h2")
     per_set = marked.groupBy("sid").agg(F.min(first).alias("f")).select(F.xxhash64("sid").alias("node"), "f")
     kept = per_set.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("f").alias("f")).select("f.__h1", "f.__h2")
