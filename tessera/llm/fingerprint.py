@@ -1,11 +1,12 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame operations only.
 
-A text is the multiset of its paragraphs. Each paragraph is hashed to a wide vector; a document's
-fingerprint is the sum of those vectors, lane by lane modulo a power of two. Order does not matter,
-and inserting or deleting a paragraph adds or subtracts its vector. Two groups of lanes: 63 narrow
-ones that count one hash bit each (their centred values are sums of random signs, so the cosine of two
-fingerprints estimates how many paragraphs two texts share), packed three to a long; and two wide
-ones that sum 32 hash bits, which make unequal multisets differ.
+A text is the multiset of its paragraphs, cut further after punctuation and some words, because most texts are
+one paragraph: an edit then changes the pieces it touches and no other. Each piece is hashed to a wide vector
+by two independent hashes; a document's fingerprint is the sum of those vectors, lane by lane modulo a power of
+two. Order does not matter, and inserting or deleting a piece adds or subtracts its vector. Two groups of lanes:
+63 narrow ones that count one bit each of the first hash (their centred values are sums of random signs, so the
+cosine of two fingerprints estimates how many pieces two texts share), packed three to a long; and four wide
+ones that sum 32 bits of either hash, 128 bits in all, which make unequal multisets differ.
 """
 
 from __future__ import annotations
@@ -24,26 +25,32 @@ _LANES = 3
 _WIDE = 0xFFFFFFFF
 _TAKE = sum(1 << (LANE_BITS * i) for i in range(_LANES))
 _NARROW = LANE_BITS
+_WIDE_LANES = 4
 _KEEP = 2**62 - 1
 #: Rows of one range that is put in order as a whole.
 ROWS_A_RANGE = 20_000
 
 
 def vector_of(text: Column) -> Column:
-    """Sums of a text's paragraph vectors: 21 packed longs, 2 wide lanes, the number of paragraphs."""
+    """Sums of a text's paragraph vectors: 21 packed longs, 4 wide lanes, the number of paragraphs."""
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), lambda p: p != "")
-    hashes = F.transform(parts, lambda p: F.xxhash64(p))
+    hashes = F.transform(parts, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit(5), p).alias("b")))
 
-    def add(acc: Column, h: Column) -> Column:
+    def add(acc: Column, both: Column) -> Column:
+        h, g = both["a"], both["b"]
         # 62 bits are kept, so that a further sum stays a long
         narrow = [
             (acc[f"n{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_TAKE))).bitwiseAND(F.lit(_KEEP)).alias(f"n{i}") for i in range(_NARROW)
         ]
         low = (acc["w0"] + h.bitwiseAND(F.lit(_WIDE))).bitwiseAND(F.lit(_WIDE)).alias("w0")
         high = (acc["w1"] + F.shiftrightunsigned(h, 32)).bitwiseAND(F.lit(_WIDE)).alias("w1")
-        return F.struct(*narrow, low, high)
+        more = [
+            (acc["w2"] + g.bitwiseAND(F.lit(_WIDE))).bitwiseAND(F.lit(_WIDE)).alias("w2"),
+            (acc["w3"] + F.shiftrightunsigned(g, 32)).bitwiseAND(F.lit(_WIDE)).alias("w3"),
+        ]
+        return F.struct(*narrow, low, high, *more)
 
-    names = [f"n{i}" for i in range(_NARROW)] + ["w0", "w1"]
+    names = [f"n{i}" for i in range(_NARROW)] + [f"w{i}" for i in range(_WIDE_LANES)]
     zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
     sums = F.aggregate(hashes, zero, add)
     # one element, so that the sums are computed once and then taken apart
@@ -60,7 +67,7 @@ def add_vectors(a: Column, b: Column, sign: int = 1) -> Column:
         F.zip_with(a, F.sequence(F.lit(0), F.size(a) - 1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
         b,
         lambda p, y: F.when(
-            (p["i"] >= _NARROW) & (p["i"] < _NARROW + 2), (p["x"] + sign * y).bitwiseAND(F.lit(_WIDE))
+            (p["i"] >= _NARROW) & (p["i"] < _NARROW + _WIDE_LANES), (p["x"] + sign * y).bitwiseAND(F.lit(_WIDE))
         ).otherwise((p["x"] + sign * y).bitwiseAND(F.lit(_KEEP))),
     )
 
@@ -72,7 +79,7 @@ def text_of(vector: Column) -> Column:
 
 def _signs(vector: Column) -> Column:
     """The 63 centred lanes: sums of one random sign for each paragraph."""
-    n = F.element_at(vector, _NARROW + 3)
+    n = F.element_at(vector, _NARROW + _WIDE_LANES + 1)
     packed = F.slice(vector, 1, _NARROW)
 
     def lane(k: int) -> Column:
@@ -119,9 +126,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     # each range's first row goes to the range before it, the very first to the last
     target = {(k, h): ranges[i - 1][0] for i, (_, k, h) in enumerate(ranges)}
     ranged = keyed.withColumn("r", r)
-    head_rows = ranged.where(
-        F.exists(F.lit([k for _, k, _ in ranges] or [0]), lambda k: k == F.col("k"))
-    ).dropDuplicates(["k", "h"])
+    # the first key of each range, looked up by the range's number
+    first = {number: (k, h) for number, k, h in ranges}
+    of_range = lambda i: F.element_at(F.lit([first.get(j, (0, 0))[i] for j in range(len(cuts) + 1)]), F.col("r") + 1)
+    head_rows = ranged.where((of_range(0) == F.col("k")) & (of_range(1) == F.col("h"))).dropDuplicates(["k", "h"])
     chosen = [(k, h, t) for (k, h), t in target.items()]
     side = docs.sparkSession.range(1).select(
         F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(h).alias("h"), F.lit(t).alias("to")) for k, h, t in chosen or [(0, 0, 0)]]))
@@ -152,7 +160,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text is the document with its last half replaced by as many characters from the start of
     the next document. A null text counts as empty, a null doc_id comes first, repeated rows follow one
     another, a single document is its own next one, an empty table gives no rows; extra columns are
-    ignored.
+    ignored. Lanes count up to 2**20 pieces of a text: of longer ones likeness is an estimate of what is left
+    modulo that, while equal texts stay equal.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.expr("left(next_text, cast(floor(n_chars / 2) as int))"))
