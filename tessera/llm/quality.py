@@ -105,15 +105,16 @@ def _fit_pairs(diff: np.ndarray, ridge: float = 1e-3, rounds: int = 25) -> np.nd
     return w
 
 
-def fit(x: np.ndarray, good: np.ndarray, seed: int = 11) -> Ranking | None:
-    """None where the labels hold only one class (there are no pairs to learn from)."""
+def fit(x: np.ndarray, good: np.ndarray, seed: int = 11, max_pairs: int = MAX_PAIRS) -> Ranking | None:
+    """A ranking learned from at most ``max_pairs`` preference pairs, drawn from the labelled rows given; None where
+    the labels hold only one class (there are no pairs to learn from)."""
     win, lose = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(win) or not len(lose):
         return None
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = (x - mean) / scale
     rng = np.random.default_rng(seed)
-    n = min(MAX_PAIRS, 20 * len(x))
+    n = min(max_pairs, 20 * len(x))
     w = _fit_pairs(z[rng.choice(win, n)] - z[rng.choice(lose, n)])
     s = z @ w
     # the quantile of all training scores at which both classes fare best on average

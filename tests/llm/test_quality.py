@@ -1,6 +1,9 @@
 import random
 import zlib
 
+import numpy as np
+
+from tessera.llm import quality
 from tessera.llm.quality import classify
 
 
@@ -42,3 +45,26 @@ def test_given_tables(spark):
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = [r for r in QUERIES["op3_bradley_terry_quality"](spark, sf).collect() if r.held_out and r.doc_id in quality]
     assert sum(r.predicted == quality[r.doc_id] for r in got) >= 0.95 * len(got)
+
+
+def test_fit_against_plain_descent():
+    """The pairwise logistic loss has one minimum; plain gradient descent finds the same weights."""
+    rng = np.random.default_rng(2)
+    diff = rng.normal(size=(400, 4)) + np.array([0.8, -0.3, 0.0, 0.1])
+    got = quality._fit_pairs(diff, ridge=0.01)
+    w = np.zeros(4)
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(diff @ w))
+        w -= 0.2 * (-(diff * p[:, None]).mean(0) + 0.01 * w)
+    assert np.abs(got - w).max() < 1e-4
+
+
+def test_scores_against_plain_formula(spark):
+    docs, labels, _ = tables(spark, 200)
+    model = quality.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in classify(docs, labels).collect():
+        if r.doc_id not in (None, 1):
+            z = float(((quality.features([texts[r.doc_id]])[0] - model.mean) / model.scale * model.weights).sum())
+            z = model.slope * (z - model.threshold) + np.log(0.3 / 0.7)
+            assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-9
