@@ -176,3 +176,30 @@ def rollup(tree: DataFrame) -> DataFrame:
 def collisions(names: DataFrame, name: str) -> DataFrame:
     """Names that differ by case only, or not at all: the folded name and how many rows have it."""
     return names.groupBy(F.lower(name).alias("folded")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def directory_hashes(tree: DataFrame) -> DataFrame:
+    """Per directory (root: empty): a hash over its children in order of their name keys, size and number of files.
+
+    Bottom up, a level a round. A child counts with its name key, hash and size; children are hashed by the first
+    two digits of their keys first and those hashes then, so that a directory of any width is 256 groups.
+    """
+    key = F.sha2(F.lower(F.substring_index("path", "/", -1)), 256)
+    depth = F.size(F.split("path", "/"))
+    deepest = tree.agg(F.max(depth)).first()[0] or 0
+    above = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    files = tree.select("path", "hash", "size", F.lit(1).cast("long").alias("files"), depth.alias("depth"))
+    out, level = None, None
+    for d in range(deepest, 0, -1):
+        here = files.where(F.col("depth") == d).drop("depth")
+        here = here if level is None else here.unionByName(level)
+        child = F.concat_ws(":", key, "hash", F.col("size").cast("string"))
+        rows = here.select(above.alias("dir"), F.substring(key, 1, 2).alias("part"), child.alias("child"), "size", "files")
+        parts = rows.groupBy("dir", "part").agg(
+            F.sha2(F.array_join(F.array_sort(F.collect_list("child")), "|"), 256).alias("h"), F.sum("size").alias("size"), F.sum("files").alias("files")
+        )
+        inner = F.array_join(F.array_sort(F.collect_list(F.concat("part", "h"))), ",")
+        dirs = parts.groupBy("dir").agg(F.sha2(inner, 256).alias("hash"), F.sum("size").alias("size"), F.sum("files").alias("files"))
+        level = dirs.select(F.col("dir").alias("path"), "hash", "size", "files")
+        out = dirs if out is None else out.unionByName(dirs)
+    return out if out is not None else files.selectExpr("path as dir", "hash", "size", "files")

@@ -141,6 +141,39 @@ def dir_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.rollup(document_tree(spark, sf_dir))
 
 
+def _level_sql(name: str, rows: str) -> str:
+    """CTEs that end in ``name``: dir, hash, size, files of the directories that hold ``rows`` (dir, n, hash, size, files)."""
+    return f"""{name}_rows as (select dir, sha256(lower(n)) as k, hash, size, files from ({rows}) x),
+  {name}_parts as (select dir, substr(k, 1, 2) as part, sha256(string_agg(k || ':' || hash || ':' || size, '|' order by k || ':' || hash || ':' || size)) as h, sum(size) as size, sum(files) as files from {name}_rows group by 1, 2),
+  {name} as (select dir, sha256(string_agg(part || h, ',' order by part || h)) as hash, cast(sum(size) as bigint) as size, cast(sum(files) as bigint) as files from {name}_parts group by 1)"""
+
+
+@_query(f"""with {_TREE}, {_level_sql("low", "select d2 as dir, string_split(path, '/')[-1] as n, hash, size, 1 as files from tree")},
+  {_level_sql("mid", "select string_split(dir, '/')[1] as dir, string_split(dir, '/')[2] as n, hash, size, files from low")},
+  {_level_sql("top", "select '' as dir, dir as n, hash, size, files from mid")} select * from low union all select * from mid union all select * from top""")
+def dir_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.directory_hashes(document_tree(spark, sf_dir))
+
+
+@_query(f"with {_diff_sql('s', 'base', 'source', False)}, {_diff_sql('t', 'base', 'target', False)} select exists (select 1 from s join t on t.path = s.path where s.hash is distinct from t.hash) as diverged")
+def link_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two branches of a link have content in conflict."""
+    base = snapshot(spark, sf_dir, "base")
+    s, t = (trees.diff(base, snapshot(spark, sf_dir, side), moves=False) for side in ("source", "target"))
+    met = s.join(t.select("path", F.col("hash").alias("other")), "path").where(~F.col("hash").eqNullSafe(F.col("other")))
+    return met.agg((F.count(F.lit(1)) > 0).alias("diverged"))
+
+
+@_query(f"""with w as (select path, case when context % 3 = 0 then sha256(path) else hash end as hash from ({snapshot_sql("target")}) x), {_diff_sql("t", "base", "target", False)}
+  select t.path, t.action, case when t.action = 'Delete' then w.path is null else w.hash is not distinct from t.hash end as still from t left join w on w.path = t.path""")
+def dirty_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded changes held against the files as they are now."""
+    changes = trees.diff(snapshot(spark, sf_dir, "base"), snapshot(spark, sf_dir, "target"), moves=False)
+    now = snapshot(spark, sf_dir, "target").selectExpr("path", "if(context % 3 = 0, sha2(path, 256), hash) as now", "true as there")
+    same = F.when(F.col("action") == "Delete", F.col("there").isNull()).otherwise(F.col("now").eqNullSafe(F.col("hash")))
+    return changes.join(now, "path", "left").select("path", "action", same.alias("still"))
+
+
 @_query("select lower(p_name) as folded, count(*) as n from part group by 1 having count(*) > 1")
 def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.collisions(table(spark, sf_dir, "part"), "p_name")
