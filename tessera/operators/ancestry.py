@@ -119,10 +119,11 @@ def shared_points(stacks: DataFrame, pairs: DataFrame) -> DataFrame:
     side's point on it.
 
     ``stacks``: branch, pos, member, point. A branch that the other side's stack names is shared with its tip as
-    its own point; the source's stack is asked first, then the target's from its nearest entry on.
+    its own point; the source's stack is asked first, then the target's from its nearest entry on. Stacks that come
+    from an explode are taken for as small as its input, hence the merge hints.
     """
-    s = stacks.select(F.col("branch").alias("source"), F.col("pos").alias("s_pos"), F.col("member").alias("shared"), F.col("point").alias("s_point"))
-    t = stacks.select(F.col("branch").alias("target"), F.col("pos").alias("t_pos"), F.col("member").alias("shared"), F.col("point").alias("t_point"))
+    s = stacks.select(F.col("branch").alias("source"), F.col("pos").alias("s_pos"), F.col("member").alias("shared"), F.col("point").alias("s_point")).hint("merge")
+    t = stacks.select(F.col("branch").alias("target"), F.col("pos").alias("t_pos"), F.col("member").alias("shared"), F.col("point").alias("t_point")).hint("merge")
     first = pairs.join(s, "source").where("shared = target").select(
         *pairs.columns, "shared", F.col("s_point").alias("source_point"), F.col("target_revision").alias("target_point"), F.lit(-1).alias("rank"), F.lit(0).alias("tie"), F.col("s_pos").alias("turn")
     )

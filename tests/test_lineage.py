@@ -2,7 +2,9 @@ import hashlib
 
 import numpy as np
 
-from tessera.operators import chunking, lineage
+from pyspark.sql import functions as F
+
+from tessera.operators import ancestry, chunking, lineage
 
 
 def plain_cuts(raw, least, mean, most):
@@ -55,3 +57,60 @@ def test_empty_metadata_and_locks(spark):
     wanted = spark.createDataFrame([("r", 1), ("r", 1), ("t", 1), ("s", 3), ("t", 3)], "resource string, owner long")
     got = {r.owner: (r.wanted, r.held, r.granted) for r in lineage.acquire(locks, wanted).collect()}
     assert got == {1: (2, 1, True), 3: (2, 0, False)}
+
+
+def grown_stacks(spark):
+    keys = spark.range(1, 100_000).select(F.col("id").alias("branch"))
+    grown = keys.select("branch", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("pos"))
+    return keys, grown.withColumn("member", F.expr("shiftright(branch, pos + 1)")).where("member > 0").withColumn("point", F.col("member") * 2)
+
+
+def broadcasts(df):
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_on_grown_stacks_are_not_broadcast(spark):
+    keys, stacks = grown_stacks(spark)
+    pairs = keys.selectExpr("branch as source", "branch as source_revision", "branch div 2 + 1 as target", "branch div 2 + 1 as target_revision")
+    assert not broadcasts(ancestry.shared_points(stacks, pairs))
+
+
+def test_base_of_points_finds_the_points_once(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    revisions = spark.range(1, 65).selectExpr("id as revision", "id as number", "case when id > 1 then id div 2 end as parent_self")
+    shared = spark.range(2, 65).select(F.col("id").alias("source_point"), counted(F.col("id") - 1).alias("target_point"))
+    got = {r.source_point: r.base for r in ancestry.base_of_points(revisions, shared).collect()}
+    assert got[64] == 1 and got[63] == 31 and got[5] == 2 and seen.value == 63
+
+
+def test_branch_points_of_grown_stacks_are_not_broadcast(spark):
+    keys, stacks = grown_stacks(spark)
+    assert not broadcasts(ancestry.is_branch_point(stacks, keys.selectExpr("branch", "branch div 8 * 2 as revision")))
+
+
+def test_shared_branches_of_grown_stacks_are_not_broadcast(spark):
+    keys, stacks = grown_stacks(spark)
+    assert not broadcasts(lineage.shared_branch(stacks, keys.selectExpr("branch as mine", "branch - 1 as theirs")))
+
+
+def grown_stacks(spark):
+    keys = spark.range(1, 100_000).select(F.col("id").alias("branch"))
+    grown = keys.select("branch", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("pos"))
+    return keys, grown.withColumn("member", F.expr("shiftright(branch, pos + 1)")).where("member > 0").withColumn("point", F.col("member") * 2)
+
+
+def broadcasts(df):
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_on_grown_stacks_are_not_broadcast(spark):
+    keys, stacks = grown_stacks(spark)
+    pairs = keys.selectExpr("branch as source", "branch as source_revision", "branch div 2 + 1 as target", "branch div 2 + 1 as target_revision")
+    assert not broadcasts(ancestry.shared_points(stacks, pairs))
