@@ -148,6 +148,7 @@ def base_of_points(revisions: DataFrame, shared: DataFrame, limit: int = 10_000)
     source_newer = F.coalesce("n1", F.lit(0)) >= F.coalesce("n2", F.lit(0))
     both = both.withColumn("newer", F.when(source_newer, F.col("source_point")).otherwise(F.col("target_point")))
     both = both.withColumn("older", F.when(source_newer, F.col("target_point")).otherwise(F.col("source_point"))).drop("n1", "n2")
+    both = both.checkpoint()  # every round of the lines would else find the points anew
     pairs = both.where("newer is not null and older is not null").select("newer", "older").distinct()
     line = lines(revisions, pairs.select(F.col("newer").alias("tip")).union(pairs.select("older")).distinct(), limit).checkpoint()
     met = meeting(line, pairs.select(F.col("newer").alias("mine"), F.col("older").alias("theirs")))

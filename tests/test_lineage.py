@@ -114,3 +114,18 @@ def test_points_on_grown_stacks_are_not_broadcast(spark):
     keys, stacks = grown_stacks(spark)
     pairs = keys.selectExpr("branch as source", "branch as source_revision", "branch div 2 + 1 as target", "branch div 2 + 1 as target_revision")
     assert not broadcasts(ancestry.shared_points(stacks, pairs))
+
+
+def test_base_of_points_finds_the_points_once(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    revisions = spark.range(1, 65).selectExpr("id as revision", "id as number", "case when id > 1 then id div 2 end as parent_self")
+    shared = spark.range(2, 65).select(F.col("id").alias("source_point"), counted(F.col("id") - 1).alias("target_point"))
+    got = {r.source_point: r.base for r in ancestry.base_of_points(revisions, shared).collect()}
+    assert got[64] == 1 and got[63] == 31 and got[5] == 2 and seen.value == 63
