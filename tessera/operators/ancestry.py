@@ -235,7 +235,7 @@ def up(line: DataFrame, asked: DataFrame) -> DataFrame:
 
 def is_branch_point(stacks: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked`` (branch, revision), and whether the branch's stack holds that revision."""
-    held = stacks.select("branch", F.col("point").alias("revision"), F.lit(True).alias("held")).distinct()
+    held = stacks.select("branch", F.col("point").alias("revision"), F.lit(True).alias("held")).distinct().hint("merge")  # stacks: see shared_points
     return asked.join(held, ["branch", "revision"], "left").select("branch", "revision", F.coalesce("held", F.lit(False)).alias("is_point"))
 
 
