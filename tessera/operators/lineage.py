@@ -66,9 +66,12 @@ def nearest_match(main: DataFrame, layer: DataFrame) -> DataFrame:
 
 
 def shared_branch(stacks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per pair (mine, theirs): the first branch of my stack that is in theirs. ``stacks``: branch, pos, member."""
-    mine = pairs.join(stacks.select(F.col("branch").alias("mine"), "pos", "member"), "mine")
-    both = mine.join(stacks.select(F.col("branch").alias("theirs"), "member"), ["theirs", "member"])
+    """Per pair (mine, theirs): the first branch of my stack that is in theirs. ``stacks``: branch, pos, member.
+
+    Stacks that come from an explode are taken for as small as its input, hence the merge hints.
+    """
+    mine = pairs.join(stacks.select(F.col("branch").alias("mine"), "pos", "member").hint("merge"), "mine")
+    both = mine.join(stacks.select(F.col("branch").alias("theirs"), "member").hint("merge"), ["theirs", "member"])
     return both.groupBy("mine", "theirs").agg(F.min_by("member", "pos").alias("shared"), F.min("pos").alias("pos"))
 
 
