@@ -26,6 +26,8 @@ LOCK_SHAPES = {
 }
 #: Fixed value: the longest name of a branch, in bytes.
 LONGEST_NAME = 1000
+#: Rows that one task of a join should make.
+TASK_ROWS = 4_000_000
 
 
 # ---------------------------------------------------------------- keys and values
@@ -118,10 +120,21 @@ def reset_branches(branches: DataFrame, asked: DataFrame, line: DataFrame, point
 
 
 def get_branches(branches: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked`` (pos, id, name) with the branch found: by id live or deleted, by name live only."""
+    """``asked`` (pos, id, name) with the branch found: by id live or deleted, by name live only.
+
+    Live branches may share a name, so the rows can be far more than the inputs; the counts of each name say among how
+    many tasks they are dealt.
+    """
     by_id = asked.where("id is not null").join(branches.select(F.col("branch").alias("id"), F.col("branch").alias("found")), "id", "left")
     live = branches.where("not deleted").select("name", F.col("branch").alias("found"))
-    by_name = asked.where("id is null").join(live, "name", "left")
+    named = asked.where("id is null")
+    sizes = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(live.groupBy("name").agg(F.count(F.lit(1)).alias("m")), "name", "full")
+    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
+    total, most = sizes.agg(F.sum(n + m + n * m), F.max(n * m)).first()
+    parts, salts = 1 + min(2 * (total or 0) // TASK_ROWS, 20_000), 1 + min(2 * (most or 0) // TASK_ROWS, 64)
+    salted = named.withColumn("salt", F.pmod(F.hash("pos"), F.lit(salts))).repartition(parts, "name", "salt")
+    spread = live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(parts, "name", "salt")
+    by_name = salted.join(spread.hint("merge"), ["name", "salt"], "left")
     return by_id.select("pos", "found").unionByName(by_name.select("pos", "found"))
 
 

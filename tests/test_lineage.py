@@ -4,7 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from tessera.operators import ancestry, chunking, lineage
+from tessera.operators import ancestry, catalogue, chunking, lineage
 
 
 def plain_cuts(raw, least, mean, most):
@@ -139,3 +139,10 @@ def test_branch_points_of_grown_stacks_are_not_broadcast(spark):
 def test_shared_branches_of_grown_stacks_are_not_broadcast(spark):
     keys, stacks = grown_stacks(spark)
     assert not broadcasts(lineage.shared_branch(stacks, keys.selectExpr("branch as mine", "branch - 1 as theirs")))
+
+
+def test_branches_of_one_name_are_dealt_among_tasks(spark):
+    branches = spark.range(0, 3000, 1, 1).selectExpr("id as branch", "if(id < 0, 'y', 'x') as name", "false as deleted")
+    asked = spark.range(0, 3000, 1, 1).selectExpr("id as pos", "cast(null as bigint) as id", "if(id < 0, 'y', 'x') as name")
+    dealt = catalogue.get_branches(branches, asked).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in dealt) == 9_000_000 and max(r["count"] for r in dealt) < 9_000_000
