@@ -13,6 +13,7 @@ into classes that share ``length`` bytes; a start whose class counts twice is re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ GRAM = 32
 SLICE = 1 << 20
 #: Bytes of text that one shard's suffix array covers.
 SHARD_BYTES = 2 << 20
-#: Different stretches under one anchor beyond which they are dealt again, by longer keys.
+#: Different stretches under one anchor, or parts of one core, beyond which they are dealt again, by longer keys.
 HOT = 2_000
 #: Widths of the parts that stretches under a crowded anchor are cut into, the last being single strings.
 PARTS = (21, 4, 1)
@@ -322,8 +323,9 @@ def _narrow(parts: DataFrame, width: int, length: int) -> DataFrame:
     """Cut stretches by how far a start lies before its anchor, in steps of ``width``, and keep the parts
     whose common core (the bytes that all strings of the step hold) occurs again.
 
-    ``parts`` has stretch, lo (its first start within the stretch), n (starts), at (the anchor's place
-    within the body), m (how often it occurs), body.
+    ``parts`` has stretch, n (starts), at (the anchor's place within the body), m (how often it occurs), body. A
+    part has these and lo (its first start within the stretch), c1 and c2 (two hashes of step and core: equal
+    strings lie in parts that share them).
     """
     k = F.explode(F.sequence(F.floor((F.col("at") - F.col("n") + 1) / width), F.floor(F.col("at") / width)))
     cut = parts.select("*", k.alias("k"))
@@ -333,8 +335,10 @@ def _narrow(parts: DataFrame, width: int, length: int) -> DataFrame:
     cut = cut.select("*", begin.alias("b"), end.alias("e"), F.xxhash64("k", core).alias("c1"), F.xxhash64(core, "k").alias("c2"))
     again = cut.groupBy("c1", "c2").agg(F.sum("m").alias("s")).where("s > 1").select("c1", "c2")
     return cut.join(again, ["c1", "c2"], "left_semi").select(
+        "c1",
+        "c2",
         "stretch",
-        (F.col("lo") + F.col("b")).alias("lo"),
+        F.col("b").alias("lo"),
         (F.col("e") - F.col("b") + 1).alias("n"),
         (F.col("at") - F.col("b")).alias("at"),
         "m",
@@ -372,20 +376,25 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         "suffix-bodies",
     )
     unstage(different)
-    # under a crowded anchor starts are dealt by ever longer parts of their own strings, so that equal
-    # ones still meet, and equal strings are counted before they are sorted
-    warm = bodies.where("hot is not null").select("stretch", F.lit(0).cast("long").alias("lo"), "n", "at", "m", "body")
+    # under a crowded anchor stretches are cut into parts that are dealt by their core; equal parts are kept once,
+    # with their number, and only those of a core that is crowded too are cut into narrower ones
+    warm = bodies.where("hot is not null").select("stretch", "n", "at", "m", "body")
+    cuts, dealt, hot = [], [], []
     for width in PARTS:
-        narrowed = stage(_narrow(warm, width, length), "suffix-parts")
-        unstage(warm)
-        warm = narrowed
-    single = warm.groupBy("body").agg(F.sum("m").alias("m"))
-    cool = bodies.where("hot is null")
-    total = cool.agg(F.sum(F.col("n") + length)).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    cool = cool.select("stretch", "n", "m", "body", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    alone = F.lit(shards) + F.pmod(F.xxhash64("body"), F.lit(max(1, -(-single.count() * (length + 1) // SHARD_BYTES))))
-    single = single.select(F.col("body").alias("stretch"), F.lit(1).cast("long").alias("n"), "m", "body", alone.alias("shard"))
+        parts = stage(_narrow(warm, width, length), "suffix-parts")
+        each = parts.groupBy("c1", "c2", "body").agg(F.first("n").alias("n"), F.first("at").alias("at"), F.sum("m").alias("m"))
+        if width > 1:  # a core of single strings has but one part
+            full = each.groupBy("c1", "c2").count().where(F.col("count") > HOT).select("c1", "c2", F.lit(True).alias("full"))
+            each = stage(each.join(full, ["c1", "c2"], "left"), "suffix-different")
+            hot.append(each)
+            warm = each.where("full is not null").select(F.col("body").alias("stretch"), "n", "at", "m", "body")
+            each = each.where("full is null")
+        cuts.append(parts)
+        dealt.append(each.select(F.col("body").alias("stretch"), "n", "m", "body", F.xxhash64("c1", "c2").alias("key"), F.lit(len(dealt)).alias("level")))
+    cool = bodies.where("hot is null").select("stretch", "n", "m", "body", F.col("anchor").alias("key"), F.lit(-1).alias("level"))
+    whole = reduce(DataFrame.unionByName, dealt, cool)
+    total = whole.agg(F.sum(F.col("n") + length)).first()[0] or 0
+    whole = whole.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // SHARD_BYTES)))))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         text = np.frombuffer(b"".join(b + b"\xff" for b in rows["body"]), np.uint8)
@@ -401,14 +410,20 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         begin = np.flatnonzero(hit & (new | (edge[:-1] == 1)))
         close = np.append(new[1:], True) | (edge[1:] == -1)
         end = np.flatnonzero(hit & close)
-        return pd.DataFrame({"stretch": rows["stretch"].to_numpy()[owner[begin]], "lo": into[begin], "hi": into[end]})
-
-    out = "stretch binary, lo bigint, hi bigint"
-    found = stage(cool.unionByName(single).groupBy("shard").applyInPandas(search, out), "suffix-found")
-    starts = warm.join(found.select(F.col("stretch").alias("body")), "body").select("stretch", "lo", F.col("lo").alias("hi"))
-    whole = found.where(F.octet_length("stretch") == 16) if length != 16 else found
-    ranges = stage(whole.unionByName(starts).unionByName(settled), "suffix-ranges")
-    unstage(bodies, warm, found, settled)
+        at = owner[begin]
+        return pd.DataFrame({"level": rows["level"].to_numpy()[at], "stretch": rows["stretch"].to_numpy()[at], "lo": into[begin], "hi": into[end]})
+
+    out = "level int, stretch binary, lo bigint, hi bigint"
+    found = stage(whole.groupBy("shard").applyInPandas(search, out), "suffix-found")
+    # ranges of parts become ranges of what they were cut from, from the narrowest on
+    at_level = lambda i: found.where(F.col("level") == i).select("stretch", "lo", "hi")
+    ranges = at_level(len(cuts) - 1)
+    for i in range(len(cuts) - 1, -1, -1):
+        within = ranges.select(F.col("stretch").alias("of"), F.col("lo").alias("b"), F.col("hi").alias("e"))
+        parts = cuts[i].withColumnRenamed("body", "of").join(within, "of")
+        ranges = parts.select("stretch", (F.col("lo") + F.col("b")).alias("lo"), (F.col("lo") + F.col("e")).alias("hi")).unionByName(at_level(i - 1))
+    ranges = stage(ranges.unionByName(settled), "suffix-ranges")
+    unstage(bodies, found, settled, *cuts, *hot)
     gone = live.select("d1", "d2", "first", "stretch").join(ranges, "stretch").select(
         "d1", "d2", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length).alias("hi")
     )

@@ -98,3 +98,22 @@ def test_very_long_text(spark):
 
 def test_empty(spark):
     assert dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_crowded_stretches_are_not_cut_to_single_strings(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = word(230)
+    docs = [(i, word(300) + passage + word(300)) for i in range(80)]
+    rows, stage = [], suffix_dedup.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        if name == "suffix-parts":
+            rows.append(out.count())
+        return out
+
+    with mock.patch.multiple(suffix_dedup, HOT=30, stage=counted):
+        got = sorted(((True, r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == brute(docs, 200)
+    assert 0 < rows[0] and sum(rows) <= 15 * len(docs)  # by single strings it would be 31 for each
