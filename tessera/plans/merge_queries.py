@@ -293,17 +293,24 @@ def node_diff_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.node_diff(keep(b), keep(t), "5-LOW")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, which come to Python in batches bounded by rows and bytes, so that a worker holds a few texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return table(spark, sf_dir, "documents")
+
+
 @_query()
 def unified_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The patch of each document against itself with sentences on lines of their own and one word replaced."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"([.!?]) ", "$1\n").alias("old"))
+    docs = _texts(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"([.!?]) ", "$1\n").alias("old"))
     return docs.select("doc_id", texts.patch(F.col("old"), F.regexp_replace("old", r"(?m)^(\w+) and ", "$1 or ")).alias("patch"))
 
 
 @_query()
 def text_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document merged from two edits of its sentences; tests hold the merge against known results and git."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"([.!?]) ", "$1\n").alias("o"))
+    docs = _texts(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"([.!?]) ", "$1\n").alias("o"))
     mine, theirs = F.regexp_replace("o", r"(?m)^([A-M])", "_$1"), F.regexp_replace("o", r"(?m)^([G-Z])", "$1_")
     return docs.select("doc_id", texts.merged(F.col("o"), mine, theirs).alias("m")).select("doc_id", "m.text", "m.conflict")
 
