@@ -97,17 +97,55 @@ def on_line(line: DataFrame, revisions: DataFrame, pairs: DataFrame, limit: int)
     return seen.select("newer", "older", state.alias("state"))
 
 
-def merge_bases(revisions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per pair (mine, theirs): the highest-numbered revision that both reach through both parents, not below
-    ``floor`` (a column of ``pairs``: the base known from branch points, null for none)."""
+def _common_of_reach(revisions: DataFrame, pairs: DataFrame) -> DataFrame:
     tips = pairs.select(F.col("mine").alias("root")).union(pairs.select("theirs")).distinct()
     got = reach(both_parents(revisions), tips).select("root", "target").unionByName(tips.select("root", F.col("root").alias("target")))
     numbered = got.join(revisions.select(F.col("revision").alias("target"), "number"), "target")
     a = numbered.select(F.col("root").alias("mine"), "target", "number")
     b = numbered.select(F.col("root").alias("theirs"), "target")
-    best = pairs.join(a, "mine").join(b, ["theirs", "target"]).groupBy("mine", "theirs").agg(
+    return pairs.join(a, "mine").join(b, ["theirs", "target"]).groupBy("mine", "theirs").agg(
         F.max_by("target", "number").alias("found"), F.max("number").alias("number")
     )
+
+
+def _newest_common(revisions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per different pair (mine, theirs) with a common ancestor: the highest-numbered one (``found``, ``number``).
+
+    Both sides go down together, and a pair ends once nothing that is still to be followed is numbered above the best
+    that both have met. That needs every parent numbered below its child; else the whole reach is compared.
+    """
+    number = revisions.select("revision", "number").distinct()
+    up = both_parents(revisions).distinct().join(number.select(F.col("revision").alias("source"), F.col("number").alias("below")), "source")
+    up = up.join(number.select(F.col("revision").alias("target"), "number"), "target").select(F.col("source").alias("revision"), "target", "number", "below").checkpoint()
+    falls = up.where("number is null or below is null or number >= below").isEmpty() and number.groupBy("revision").count().where("count > 1").isEmpty()
+    if not falls:
+        return _common_of_reach(revisions, pairs)
+    up = up.drop("below")
+    tips = pairs.select("*", F.col("mine").alias("revision"), F.lit(1).alias("sides")).unionByName(pairs.select("*", F.col("theirs").alias("revision"), F.lit(2).alias("sides")))
+    # sides: which of the two have met the revision; done: for which of them its parents have been met
+    state = tips.join(number, "revision").withColumn("done", F.lit(0))
+    each, settled = Window.partitionBy("mine", "theirs"), None
+    while True:
+        met = state.groupBy("mine", "theirs", "revision").agg(F.first("number").alias("number"), F.bit_or("sides").alias("sides"), F.bit_or("done").alias("done"))
+        met = met.withColumn("best", F.max(F.when(F.col("sides") == 3, F.col("number"))).over(each))
+        more = (F.col("sides") != F.col("done")) & (F.col("best").isNull() | (F.col("number") > F.col("best")))
+        met = met.withColumn("more", more).withColumn("open", F.max("more").over(each)).where("best is null or number >= best")
+        met = met.where("open or sides = 3").checkpoint()
+        ended = met.where("not open").select("mine", "theirs", F.col("revision").alias("found"), "number")
+        settled = ended if settled is None else settled.unionByName(ended)
+        front = met.where("more").select("mine", "theirs", "revision", F.col("sides").bitwiseXOR(F.col("done")).alias("sides"))
+        asked = front.count()
+        if not asked:
+            return settled.groupBy("mine", "theirs").agg(F.max_by("found", "number").alias("found"), F.max("number").alias("number"))
+        further = (F.broadcast(front) if asked < 50_000 else front).join(up, "revision")
+        further = further.select("mine", "theirs", F.col("target").alias("revision"), "number", "sides", F.lit(0).alias("done"))
+        state = met.where("open").select("mine", "theirs", "revision", "number", "sides", F.when(F.col("more"), F.col("sides")).otherwise(F.col("done")).alias("done")).unionByName(further)
+
+
+def merge_bases(revisions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per pair (mine, theirs): the highest-numbered revision that both reach through both parents, not below
+    ``floor`` (a column of ``pairs``: the base known from branch points, null for none)."""
+    best = _newest_common(revisions, pairs.select("mine", "theirs").where("mine is not null and theirs is not null").distinct())
     low = revisions.select(F.col("revision").alias("floor"), F.col("number").alias("floor_number"))
     out = pairs.join(best, ["mine", "theirs"], "left").join(low, "floor", "left")
     better = F.coalesce(F.col("number") > F.col("floor_number"), F.col("floor_number").isNull())

@@ -1,4 +1,5 @@
 import hashlib
+from unittest import mock
 
 import numpy as np
 
@@ -146,3 +147,46 @@ def test_branches_of_one_name_are_dealt_among_tasks(spark):
     asked = spark.range(0, 3000, 1, 1).selectExpr("id as pos", "cast(null as bigint) as id", "if(id < 0, 'y', 'x') as name")
     dealt = catalogue.get_branches(branches, asked).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in dealt) == 9_000_000 and max(r["count"] for r in dealt) < 9_000_000
+
+
+def plain_bases(revisions, pairs):
+    parents = {r[0]: [p for p in r[2:4] if p is not None] for r in revisions}
+    number = {r[0]: r[1] for r in revisions}
+
+    def reached(x):
+        seen, todo = set(), [x]
+        while todo:
+            y = todo.pop()
+            if y not in seen:
+                seen.add(y)
+                todo += parents.get(y, [])
+        return {y for y in seen if y in number}
+
+    out = set()
+    for mine, theirs, floor in pairs:
+        best = max(reached(mine) & reached(theirs), key=number.get, default=None)
+        low = number.get(floor)
+        out.add((mine, theirs, best if low is None or (best is not None and number[best] > low) else floor))
+    return out
+
+
+def test_merge_bases_against_a_plain_search(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rng = np.random.default_rng(7)
+    for falling in (True, False):
+        pick = lambda i: int(rng.integers(max(1, i - 6), i)) if i > 2 and rng.random() < 0.9 else None
+        rows = [(i, i * 2, pick(i), pick(i) if i % 3 == 0 else None) for i in range(1, 40)]
+        if not falling:  # a child numbered below its parent
+            rows[20] = (21, 3, 20, None)
+        pairs = [(int(a), int(b), int(a) // 2 if a % 4 == 0 else None) for a, b in {tuple(x) for x in rng.integers(1, 42, (60, 2)).tolist()}]
+        revisions = spark.createDataFrame(rows, "revision long, number long, parent_self long, parent_other long")
+        got = ancestry.merge_bases(revisions, spark.createDataFrame(pairs, "mine long, theirs long, floor long")).collect()
+        assert {tuple(r) for r in got} == plain_bases(rows, pairs) and len(got) == len(pairs)
+
+
+def test_merge_bases_do_not_find_the_whole_reach(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    revisions = spark.range(1, 257).selectExpr("id as revision", "id as number", "case when id > 1 then id - 1 end as parent_self", "cast(null as bigint) as parent_other")
+    pairs = spark.range(2, 257).selectExpr("id as mine", "id - 1 as theirs", "cast(null as bigint) as floor")
+    with mock.patch.object(ancestry, "reach", side_effect=AssertionError):
+        assert all(r.base == r.theirs for r in ancestry.merge_bases(revisions, pairs).collect())
