@@ -55,3 +55,31 @@ def test_very_long_text(spark):
     long = " ".join(f"w{i % 5000}" for i in range(400_000))
     got = scores(spark.createDataFrame([(1, long), (2, "w1 w2 w9"), (3, None)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_words for r in got} == {1: 400_000, 2: 3, 3: 0}
+
+
+def test_many_parts(spark):
+    """Pairs of rare and frequent words in several parts and slices; ids that are no numbers."""
+    rng = random.Random(5)
+    docs = [(f"d{i}", " ".join(rng.choices("the of a b c".split(), k=9) + [f"x{rng.randrange(40)} y{rng.randrange(9)}" for _ in range(30)])) for i in range(90)]
+    frame = spark.createDataFrame([*docs, docs[7]], "doc_id string, text string")
+    want = brute([*enumerate(t for _, t in docs), (7, docs[7][1])])
+    got = sorted(((True, int(r.doc_id[1:])), r.n_words, r.score) for r in scores(frame, slices=3, frequent=0.004, part_bytes=2000).collect())
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-6, (a, b)
+
+
+def shuffled(spark):
+    """(number of stages, rows that they have written for shuffles)."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    found = [stages.apply(i) for i in range(stages.size())]
+    return max([0, *(s.stageId() for s in found)]), lambda least: sum(s.shuffleWriteRecords() for s in found if s.stageId() > least)
+
+
+def test_pairs_are_not_rows(spark):
+    """Rows of one pair each took too many CPU seconds and too much of an executor's memory."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"v{int(rng.paretovariate(0.3)) % 3000}" for _ in range(400))) for i in range(300)]
+    before, _ = shuffled(spark)
+    assert len(scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), frequent=0.001).collect()) == 300
+    assert 0 < shuffled(spark)[1](before) < 300 * 400 / 10
