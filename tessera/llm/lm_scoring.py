@@ -191,7 +191,7 @@ def _log(x: np.ndarray) -> np.ndarray:
 
 
 def _pairs(frequent, total: int, backoff: float, parts: int, slices: int, which: int):
-    """Cells of one slice of the parts; pairs whose counts are all known are summed up here."""
+    """Cells of one slice of the parts, which it numbers from 0; pairs whose counts are all known are summed up here."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, word_counts, pairs, pair_counts = frequent.value
@@ -229,8 +229,8 @@ def _pairs(frequent, total: int, backoff: float, parts: int, slices: int, which:
             i, n = one[left], n[left]
             rare_p, rare_w = pi[i] < 0, wi[i] < 0
             row = (ids[doc[i]], np.where(rare_w, h[i], np.where(rare_p, p[i], 0)), np.where(rare_w & rare_p, p[i], 0), pi[i], wi[i], n, op[i], own[i])
-            entries = _cells(to[i], {name: x.astype(kind) for (name, kind), x in zip(_ENTRY.items(), row, strict=True)})
-            spread = int(_part(h[:1], parts // slices)[0]) * slices + which
+            entries = _cells(to[i] // slices, {name: x.astype(kind) for (name, kind), x in zip(_ENTRY.items(), row, strict=True)})
+            spread = int(_part(h[:1], parts // slices)[0])
             for cells, columns in ((entries, _ENTRY), (_cells(np.full(len(some), spread), {k: x.astype(_KNOWN[k]) for k, x in zip(_KNOWN, known, strict=True)}), _KNOWN)):
                 empty = pa.array([b""] * cells.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([cells.column("to"), *(cells.column(k) if k in columns else empty for k in (*_ENTRY, *_KNOWN))], ["to", *_ENTRY, *_KNOWN])
@@ -310,8 +310,8 @@ def _broadcast_table(spark: SparkSession, *frames: DataFrame):
 
 
 def _dealt(cells: DataFrame, parts: int):
-    """Cells by part, in as many tasks as there are parts, so that a task reads a few parts however large the input is."""
-    return cells.repartition(parts, "to").groupBy("to")
+    """Cells by part, one part a task, so that a task reads no more however large the input is."""
+    return cells.repartitionById(parts, F.col("to")).groupBy("to")
 
 
 def _binary(*columns: dict[str, type]) -> str:
@@ -340,19 +340,19 @@ def scores(
     each = 1 + (size or 0) // (part_bytes * slices)  # parts of a slice
     parts = each * slices
     texts, counts = keyed.select("text"), _binary({"key": 0, "c": 0})
-    counted = _dealt(texts.mapInArrow(_count_words(parts), counts), each).applyInArrow(_add_words, f"{counts}, total bigint")
+    counted = _dealt(texts.mapInArrow(_count_words(parts), counts), parts).applyInArrow(_add_words, f"{counts}, total bigint")
     unigrams = stage(counted, "lm-words")
     total = unigrams.agg(F.sum("total")).first()[0] or 0
     least = max(1.0, total * frequent)
     words = unigrams.select("key", "c").mapInArrow(_unpack(least, math.inf), "key bigint, c bigint")
-    both = texts.mapInArrow(_count_pairs(_broadcast_table(spark, words), parts), counts)
+    both = texts.mapInArrow(_count_pairs(_broadcast_table(spark, words), each), counts)
     pairs = stage(_dealt(both, each).applyInArrow(_add_pairs(least), "key bigint, c bigint"), "lm-pairs")
     tables = _broadcast_table(spark, words, pairs)
 
     done = []
     for i in range(slices):
         cells = keyed.select("d", "text").mapInArrow(_pairs(tables, total, backoff, parts, slices, i), _binary(_ENTRY, _KNOWN))
-        beside = unigrams.where(F.col("to") % slices == i).select("to", "key", "c")
+        beside = unigrams.where(F.col("to") % slices == i).select(F.expr(f"int(to div {slices})").alias("to"), "key", "c")
         valued = _dealt(cells, each).cogroup(_dealt(beside, each)).applyInArrow(_score(tables, total, backoff, each), _binary(_SUM, _LATE))
         summed = _dealt(valued, each).applyInArrow(_add_documents, "d bigint, s double, m bigint, p bigint, n bigint, own bigint")
         done.append(stage(summed, "lm-sums"))
