@@ -6,10 +6,14 @@ block value. A crowded bucket is cut into tiles by bands of population counts, a
 together, all others differ beyond the radius by their counts alone, and compared by exclusive-or and bit
 count. A tile pair returns a spanning forest of its links, never all pairs, so a group of n copies costs
 about n rows.
+
+Where the prints carry the size of their shingle set, only sizes that allow the similarity ``SHARE`` are
+compared and bands are of sizes. Many blocks are dealt a few at a time, so that the disk holds the rows of those.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -24,6 +28,15 @@ from .common import small_batches, stage, table, unstage
 TILE = 4096
 #: Fingerprints a task group gathers from many small buckets.
 GROUP = 50_000
+#: Tiles of prints with sizes, of which a print meets few, are so many times as large.
+SIZED = 4
+#: Blocks that are dealt at once, and rows up to which all are.
+AT_ONCE = 14
+FEW_ROWS = 2_000_000
+#: Share of bits that differ, on average, between near copies of few shingles, those furthest apart.
+APART = 96 / 512
+#: Bits of the first 128 in which near copies differ at most: 24 with a deviation of 4.4 at ``APART``.
+QUICK = 52
 #: Crowded buckets up to which their table is broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 20_000
 #: Bytes kept of each shingle hash of a set.
@@ -82,19 +95,33 @@ def fingerprint(text: Column, words: int = 4, lanes: int = 1, distinct: bool = F
     return of(text)
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The first HASH_BYTES bytes of sorted hashes, each once."""
+    return np.unique(hashes >> np.uint64(64 - 8 * HASH_BYTES))
+
+
 def _prints(text: Column, words: int, lanes: int) -> Column:
-    """Struct of fp (SimHash over distinct shingles), sh (their sorted hashes, 48 bits each) and sid (128 bits of the
+    """Struct of fp (SimHash over distinct shingles), size (number of their short hashes) and sid (128 bits of the
     whole ones)."""
 
-    @F.pandas_udf("fp binary, sh binary, sid binary")
+    @F.pandas_udf("fp binary, size int, sid binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             hashes = np.unique(_shingles(t, words))
-            whole = hashes.astype(">u8")
-            sh = np.unique(hashes >> np.uint64(64 - 8 * HASH_BYTES)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :]
-            rows.append((_majority(hashes, lanes), sh.tobytes(), xxhash.xxh3_128_digest(whole.tobytes())))
-        return pd.DataFrame(rows, columns=["fp", "sh", "sid"])
+            rows.append((_majority(hashes, lanes), len(_short(hashes)), xxhash.xxh3_128_digest(hashes.astype(">u8").tobytes())))
+        return pd.DataFrame(rows, columns=["fp", "size", "sid"])
+
+    return of(text)
+
+
+def _hashes(text: Column, words: int) -> Column:
+    """Sorted short hashes of a text's shingles, as bytes."""
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        sets = [_short(np.unique(_shingles(t, words))).astype(">u8") for t in texts]
+        return pd.Series([h.view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes() for h in sets], dtype=object)
 
     return of(text)
 
@@ -148,48 +175,130 @@ def _stars(node: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple[int, in
     return [(a, b) for a, b in out if a != b]
 
 
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give the rows that the pairs (a, b) connect one label, the smallest of their rows, in place."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, up := label[label]):
+            label[:] = up
+
+
+def _near_stars(bucket: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray, left: np.ndarray, radius: int, two: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links within ``radius`` between rows of one bucket whose sizes allow the similarity ``SHARE``, each connected
+    group as a star around its smallest node; where ``two`` tiles meet, only links across them count.
+
+    Rows stand by bucket and size; each is held against the first after it, then the second, and so on while any
+    size allows it. Rows that are connected already are not compared again.
+    """
+    top, bottom = SHARE
+    order = np.lexsort((size, bucket))
+    bucket, node, fp, size, left = bucket[order], node[order], fp[order], size[order], left[order]
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    rank = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(bucket)]))))
+    step = int(size.max()) * bottom + 1
+    last = np.searchsorted(rank * step + size, rank * step + size * bottom // top, "right") - 1
+    quick = [np.ascontiguousarray(fp[:, lane]) for lane in range(2)] if fp.shape[1] > 2 else []
+    label, row, found, d = np.arange(len(node)), np.flatnonzero(last > np.arange(len(node))), [], 0
+    while len(row):
+        d += 1
+        row = row[last[row] >= row + d]
+        a = row[label[row] != label[row + d]]
+        if two:
+            a = a[left[a] != left[a + d]]
+        if quick:
+            a = a[sum(np.bitwise_count(q[a] ^ q[a + d]) for q in quick) <= QUICK]
+        a = a[np.bitwise_count(fp[a] ^ fp[a + d]).sum(axis=1) <= radius]
+        if len(a):
+            found.append((a, a + d))
+        if found and (d & (d - 1) == 0 or d % 64 == 0 or not len(row)):
+            _join(label, *(np.concatenate(x) for x in zip(*found, strict=True)))
+            found = []
+    if found:
+        _join(label, *(np.concatenate(x) for x in zip(*found, strict=True)))
+    least = node.copy()
+    np.minimum.at(least, label, node)
+    least = least[label]
+    return least[least != node], node[least != node]
+
+
+def _places(bits: int, blocks: int, prints: int) -> list[np.ndarray]:
+    """Places of the bits of each of ``blocks`` equal cuts. Where a bucket would then hold over TILE of the ``prints`` on
+    average: of wider blocks, over the bits in further orders, and so many that a pair ``APART`` meets as surely."""
+    cuts = np.linspace(0, bits, blocks + 1).astype(int)
+    equal = [np.arange(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+    width = min(bits, math.ceil(math.log2(max(1.0, prints / TILE))))
+    if width <= bits // blocks:
+        return equal
+    missed = lambda w: math.log1p(-((1 - APART) ** w))
+    need = math.ceil(sum(missed(len(x)) for x in equal) / missed(width))
+    fit = bits // width
+    orders = [np.random.default_rng(k).permutation(bits) for k in range(-(-need // fit))]
+    return [o[i * width : (i + 1) * width] for o in orders for i in range(fit)][:need]
+
+
 def links(prints: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
     """Edges (a, b), staged, that connect every pair of fingerprints within ``radius`` bits.
 
     ``prints`` has one row per distinct fingerprint: node (long), fp (binary of 8 bytes a lane). Every
     link is compared exactly in some bucket; edges form a forest in each, with the same components.
     With fewer ``blocks`` than radius + 1, wider ones, a pair at ``blocks`` bits or more is only sure to
-    meet where some block is equal.
+    meet where some block is equal. With a column size (of the shingle set; one row per fingerprint and
+    size), pairs below the similarity ``SHARE`` may stay unlinked, and blocks get wider with the number of prints.
     """
     blocks = blocks or radius + 1
     n, width = prints.agg(F.count(F.lit(1)), F.max(F.length("fp"))).first()
     width = width or 8
-    groups = max(1, -(-n * blocks // GROUP))
+    cuts = _places(8 * width, blocks, n if "size" in prints.columns else 0)
+    step = len(cuts) if n * len(cuts) <= FEW_ROWS else AT_ONCE
+    found = [_links_of(prints, radius, width, dict(enumerate(cuts[i : i + step], i)), n) for i in range(0, len(cuts), step)]
+    if len(found) == 1:
+        return found[0]
+    edges = stage(reduce(DataFrame.unionByName, found).distinct(), "simhash-edges")
+    unstage(*found)
+    return edges
+
+
+def _links_of(prints: DataFrame, radius: int, width: int, cuts: dict[int, np.ndarray], n: int) -> DataFrame:
+    """``links`` found by some blocks: the bits of each by its number."""
+    sized = "size" in prints.columns
+    tile_rows = SIZED * TILE if sized else TILE
+    groups = max(1, -(-n * len(cuts) // GROUP))
+    first = min(cuts)
 
     @F.pandas_udf("array<long>")
     def block_values(fps: pd.Series) -> pd.Series:
         if not len(fps):
             return pd.Series([], dtype=object)
         bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1)
-        cuts = np.linspace(0, bits.shape[1], blocks + 1).astype(int)
         cols = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
+        for cut in cuts.values():
             v = np.zeros(len(fps), np.int64)
-            for c in range(a, b):  # a wider block than 64 bits folds; equal blocks stay equal
+            for c in cut:  # a wider block than 64 bits folds; equal blocks stay equal
                 v = v * 2 + bits[:, c]
             cols.append(v)
         return pd.Series(list(np.stack(cols, axis=1)))
 
-    dealt = stage(
-        prints.select("node", "fp", F.posexplode(block_values("fp")).alias("block", "value")), "simhash-blocks"
-    )
-    crowded = dealt.groupBy("block", "value").count().where(F.col("count") > TILE).select("block", "value")
-    few = n * blocks // TILE <= MOST_BROADCAST  # no more buckets than that can be crowded
+    own = ["node", "fp", *(["size"] if sized else [])]
+    dealt = prints.select(*own, F.posexplode(block_values("fp")).alias("block", "value")).withColumn("block", F.col("block") + first)
+    dealt = stage(dealt, "simhash-blocks")
+    crowded = dealt.groupBy("block", "value").count().where(F.col("count") > tile_rows).select("block", "value")
+    few = n * len(cuts) // tile_rows <= MOST_BROADCAST  # no more buckets than that can be crowded
     crowded = F.broadcast(crowded) if few else crowded
     joined = dealt.join(crowded.withColumn("crowded", F.lit(True)), ["block", "value"], "left")
     alone = joined.where("crowded is null").select(
-        "node", "fp", F.pmod(F.xxhash64("block", "value"), F.lit(groups)).alias("g"), F.lit("").alias("x"), F.lit("").alias("y"), "block", "value", F.lit(True).alias("left")
+        *own, F.pmod(F.xxhash64("block", "value"), F.lit(groups)).alias("g"), F.lit("").alias("x"), F.lit("").alias("y"), "block", "value", F.lit(True).alias("left")
     )
-    # tiles of a band: so many that each holds about TILE prints
+    # tiles of a band: so many that each holds about tile_rows prints; sizes of neighbouring bands differ more than ``SHARE`` allows
     lanes = [F.conv(F.hex(F.substring("fp", 1 + 8 * i, 8)), 16, -10).cast("long") for i in range(width // 8)]
     pop = reduce(lambda x, y: x + y, [F.bit_count(lane) for lane in lanes])
-    banded = joined.where("crowded").select("node", "fp", "block", "value", F.floor(pop / max(radius, 1)).alias("band"))
-    parts = banded.groupBy("block", "value", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
+    band = F.floor(F.log("size") / math.log(1.05 * SHARE[1] / SHARE[0])) if sized else F.floor(pop / max(radius, 1))
+    banded = joined.where("crowded").select(*own, "block", "value", band.alias("band"))
+    parts = banded.groupBy("block", "value", "band").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("parts"))
     near = parts.select("block", "value", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("other"), F.col("parts").alias("others"))
     meets = near.groupBy("block", "value", "band").agg(F.collect_list(F.struct("other", "others")).alias("near"))  # three at most
     placed = banded.join(F.broadcast(parts) if few else parts, ["block", "value", "band"]).join(meets, ["block", "value", "band"])
@@ -198,12 +307,17 @@ def links(prints: DataFrame, radius: int, blocks: int | None = None) -> DataFram
     here, there = F.struct("band", "t"), F.struct(F.col("m.other").alias("band"), F.col("o").alias("t"))
     name = lambda tile: F.concat_ws(".", tile["band"], tile["t"])
     paired = placed.select(
-        "node", "fp", F.xxhash64("block", "value").alias("g"), name(F.least(here, there)).alias("x"), name(F.greatest(here, there)).alias("y"), "block", "value", (here <= there).alias("left")
+        *own, F.xxhash64("block", "value").alias("g"), name(F.least(here, there)).alias("x"), name(F.greatest(here, there)).alias("y"), "block", "value", (here <= there).alias("left")
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
         two = rows["x"].iloc[0] != rows["y"].iloc[0]
+        if sized:
+            fp = np.frombuffer(b"".join(rows["fp"]), ">u8").reshape(len(rows), -1).astype(np.uint64)
+            bucket = rows.groupby(["block", "value"], sort=False).ngroup().to_numpy()
+            a, b = _near_stars(bucket, rows["node"].to_numpy(), fp, rows["size"].to_numpy().astype(np.int64), rows["left"].to_numpy(), radius, two)
+            return pd.DataFrame({"a": a, "b": b})
         for _, b in rows.groupby(["block", "value"], sort=False):
             if len(b) > 1:
                 fp = np.frombuffer(b"".join(b["fp"]), ">u8").reshape(len(b), -1).astype(np.uint64)
@@ -343,8 +457,9 @@ def keep_one(docs: DataFrame, words: int = 5, lanes: int = 8, radius: int = 136,
     """``docs`` without all but one document of each near-duplicate group: the smallest doc_id stays.
 
     Two texts are linked where the exact Jaccard similarity of their distinct shingles is 0.8 or more. The
-    candidates come from fingerprints of 64 bits a lane: groups linked within ``radius`` bits, found
-    where one of ``blocks`` parts is equal. By calculation a pair at 0.8 differs in 78 of 512 bits on
+    candidates come from fingerprints of 64 bits a lane: groups linked within ``radius`` bits between sets whose
+    sizes allow 0.8, found where one of ``blocks`` parts is equal; beyond 512 times TILE sets wider parts, so many that
+    a pair meets as surely. By calculation a pair at 0.8 differs in 78 of 512 bits on
     average, in 96 (deviation 9) with 4 and 5 shingles, the most; a pair fails to meet in any part with a chance
     of 1 in a million, of 1 in 10,000 with 4 and 5 shingles. Sets below 4 shingles reach 0.8 only
     when equal. Texts without words are one group. Null ids come last; repeated rows leave one; an
@@ -353,17 +468,18 @@ def keep_one(docs: DataFrame, words: int = 5, lanes: int = 8, radius: int = 136,
     small_batches(docs.sparkSession)
     row = [F.xxhash64(*docs.columns).alias("__h1"), F.xxhash64(F.lit(1), *docs.columns).alias("__h2")]
     marked = stage(docs.select("doc_id", *row, _prints(F.col("text"), words, lanes).alias("p")).select("doc_id", "__h1", "__h2", "p.*"), "keep-prints")
-    large = marked.where(F.length("sh") >= HASH_BYTES * SHARE[0])
-    ids = large.select("sid", "fp").distinct()
-    distinct = stage(ids.groupBy("fp").agg((F.count(F.lit(1)) > 1).alias("several")).select("*", F.xxhash64("fp").alias("node")), "simhash-distinct")
-    near = stage(components(links(distinct, radius, blocks)), "simhash-roots")
-    grouped = distinct.join(near, "node", "left").where("several or root is not null").select("fp", F.coalesce("root", "node").alias("root"))
-    sets = stage(
-        large.select("sid", "fp", "sh").dropDuplicates(["sid"])
-        .join(ids.join(grouped, "fp").select("sid", "root"), "sid")
-        .select(F.xxhash64("sid").alias("node"), "root", "fp", "sh"),
-        "simhash-sets",
-    )
+    one = marked.where(F.col("size") >= SHARE[0]).groupBy("sid", "fp", "size").agg(F.min(F.struct("__h1", "__h2")).alias("r"))
+    one = stage(one.select("sid", "fp", "size", "r.*"), "simhash-ids")
+    distinct = one.groupBy("fp", "size").agg((F.count(F.lit(1)) > 1).alias("several"))
+    distinct = stage(distinct.select("*", F.xxhash64("fp", "size").alias("node")), "simhash-distinct")
+    near = stage(components(links(distinct.drop("several"), radius, blocks)), "simhash-roots")
+    grouped = distinct.join(near, "node", "left").where("several or root is not null").select("fp", "size", F.coalesce("root", "node").alias("root"))
+    asked = stage(one.join(grouped, ["fp", "size"]).select(F.xxhash64("sid").alias("node"), "root", "fp", "__h1", "__h2"), "simhash-asked")
+    unstage(one)
+    # hashes of whole sets are larger than their texts: only those of candidates are made, from one row of each set
+    sets = docs.select("text", *row).join(asked, ["__h1", "__h2"]).dropDuplicates(["__h1", "__h2"])
+    sets = stage(sets.select("node", "root", "fp", _hashes(F.col("text"), words).alias("sh")), "simhash-sets")
+    unstage(asked)
     unstage(distinct, near)
     roots = stage(components(alike(sets, radius)), "simhash-roots")
     unstage(sets)

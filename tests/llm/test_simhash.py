@@ -2,6 +2,7 @@ import random
 import re
 from unittest import mock
 
+import numpy as np
 import xxhash
 
 from tessera.llm import simhash
@@ -116,3 +117,61 @@ def test_keep_one_in_small_tiles(spark):
     with mock.patch.multiple(simhash, TILE=3, GROUP=50, SET_BYTES=4096):
         got = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
         assert sorted(r.doc_id for r in got.collect()) == jaccard_kept(docs)
+
+
+def test_few_blocks_are_dealt_at_once(spark):
+    docs, dealt, prints = keep_fixture()[-60:], [], []
+
+    def staged(frame, name, real=simhash.stage):
+        out = real(frame, name)
+        if name == "simhash-blocks":
+            dealt.append((out.count(), out.select("node").distinct().count()))
+        if name == "keep-prints":
+            prints.append(out.columns)
+        return out
+
+    with mock.patch.multiple(simhash, FEW_ROWS=100, TILE=1, stage=staged):
+        got = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert sorted(r.doc_id for r in got.collect()) == jaccard_kept(docs)
+    assert len(dealt) == 4 and all(0 < rows <= 14 * n for rows, n in dealt)
+    assert "sh" not in prints[0]  # whole sets are made for candidates only
+
+
+def test_wider_blocks_for_many_prints(spark):
+    assert [len(x) for x in simhash._places(64, 5, 0)] == [12, 13, 13, 13, 13]
+    assert len(simhash._places(512, 56, 2_000_000)) == 56
+    wide = simhash._places(512, 56, 10_000_000)
+    assert {len(set(x.tolist())) for x in wide} == {12}
+    meets = lambda places, apart: 1 - np.prod([1 - (1 - apart) ** len(x) for x in places])
+    for apart in (78 / 512, 96 / 512):
+        assert meets(wide, apart) >= meets(simhash._places(512, 56, 0), apart)
+    docs = keep_fixture()
+    with mock.patch.object(simhash, "_places", lambda *_: wide):
+        got = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert sorted(r.doc_id for r in got.collect()) == jaccard_kept(docs)
+
+
+def test_near_stars_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for two in (False, True):
+        n = 300
+        base = rng.integers(0, 2**63, (12, 8), dtype=np.uint64)
+        noise = np.packbits(rng.random((n, 512)) < 0.12, axis=1).view(np.uint64)
+        fp = base[rng.integers(0, 12, n)] ^ noise
+        bucket, node, size, left = rng.integers(0, 4, n), rng.permutation(n) + 1000, rng.integers(4, 60, n), rng.random(n) < 0.5
+        root = {x: x for x in node.tolist()}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in range(n):
+            for j in range(i):
+                bits = np.bitwise_count(fp[i] ^ fp[j])
+                if bucket[i] == bucket[j] and bits.sum() <= 136 and bits[:2].sum() <= simhash.QUICK and 4 * max(size[i], size[j]) <= 5 * min(size[i], size[j]) and (not two or left[i] != left[j]):
+                    a, b = find(int(node[i])), find(int(node[j]))
+                    root[max(a, b)] = min(a, b)
+        a, b = simhash._near_stars(bucket, node, fp, size, left, 136, two)
+        want = {(find(x), x) for x in root if find(x) != x}
+        assert want and len(want) < n - 4 and set(zip(a.tolist(), b.tolist(), strict=True)) == want
